@@ -5,10 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import languages, leakage, lookalikes, packing, quality, splitting
+from folioforge.llm import languages, leakage, lookalikes, packing, quality, scan_repair, splitting
 from folioforge.session import table
 
 
+def _scanned(spark: SparkSession, d: str) -> DataFrame:
+    chunks = table(spark, d, "chunks").select("doc_id", "chunk_index", "text")
+    return chunks.unionByName(table(spark, d, "documents").select("doc_id", F.lit(-1).alias("chunk_index"), F.col("abstract").alias("text")))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks and abstracts that hold scan damage."""
+    return scan_repair.damaged_texts(_scanned(spark, d), "text", ["doc_id", "chunk_index"]).distinct()
+
+
+def p2_text(spark: SparkSession, d: str) -> DataFrame:
+    """Every chunk and abstract as continuous paragraphs."""
+    return scan_repair.repaired_texts(_scanned(spark, d), "text", ["doc_id", "chunk_index"])
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Chunks and author lists that hold characters standing for others."""
     chunks = lookalikes.consistent_text(table(spark, d, "chunks"), "text", ["doc_id", "chunk_index"], only_changed=True)
@@ -78,7 +93,7 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p3_found, p3_text, p5_found, p5_pieces, p7_found, p7_languages, p8_containers, p9_found, p9_spans, p10_found, p10_kinds, p10_statistics)}
+    p2_found, p2_text, p3_found, p3_text, p5_found, p5_pieces, p7_found, p7_languages, p8_containers, p9_found, p9_spans, p10_found, p10_kinds, p10_statistics)}
 
 _p3_chunks = lookalikes.consistent_sql("chunks", "doc_id, chunk_index", "text", False)
 _p3_authors = lookalikes.consistent_sql("(SELECT doc_id, CAST(-1 AS INTEGER) AS chunk_index, authors FROM documents)", "doc_id, chunk_index", "authors", True)
