@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import languages, leakage, lookalikes, packing, quality, scan_repair, splitting
+from folioforge.llm import languages, leakage, lookalikes, names, packing, quality, scan_repair, similar, splitting
 from folioforge.session import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of chunks of similarity 0.90 or more, one among the other's ten most similar."""
+    return similar.similar_pairs(table(spark, d, "vectors"), "chunk_id", "embedding", 0.90)
+
+
 def _scanned(spark: SparkSession, d: str) -> DataFrame:
     chunks = table(spark, d, "chunks").select("doc_id", "chunk_index", "text")
     return chunks.unionByName(table(spark, d, "documents").select("doc_id", F.lit(-1).alias("chunk_index"), F.col("abstract").alias("text")))
@@ -47,6 +52,11 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_items(table(spark, d, "chunks"), "chunk_id", "text")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Different spellings of one person or organisation."""
+    return names.variant_pairs(table(spark, d, "documents"), "authors")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Languages that documents hold sentences in and their labels do not name."""
     return languages.unnamed_languages(table(spark, d, "documents"), table(spark, d, "chunks"), table(spark, d, "common_words"))
@@ -93,7 +103,7 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p2_found, p2_text, p3_found, p3_text, p5_found, p5_pieces, p7_found, p7_languages, p8_containers, p9_found, p9_spans, p10_found, p10_kinds, p10_statistics)}
+    p1_found, p2_found, p2_text, p3_found, p3_text, p5_found, p5_pieces, p6_found, p7_found, p7_languages, p8_containers, p9_found, p9_spans, p10_found, p10_kinds, p10_statistics)}
 
 _p3_chunks = lookalikes.consistent_sql("chunks", "doc_id, chunk_index", "text", False)
 _p3_authors = lookalikes.consistent_sql("(SELECT doc_id, CAST(-1 AS INTEGER) AS chunk_index, authors FROM documents)", "doc_id, chunk_index", "authors", True)
