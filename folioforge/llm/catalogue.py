@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import languages, leakage, lookalikes, names, packing, quality, scan_repair, similar, splitting
+from folioforge.llm import languages, leakage, lookalikes, names, packing, quality, records, scan_repair, similar, splitting
 from folioforge.session import table
 
 
@@ -42,6 +42,16 @@ def p3_text(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.consistent_text(table(spark, d, "chunks"), "text", ["chunk_id"])
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of documents that tell of the same paper."""
+    return records.duplicate_pairs(table(spark, d, "documents"))
+
+
+def p4_records(spark: SparkSession, d: str) -> DataFrame:
+    """One record per paper."""
+    return records.best_records(table(spark, d, "documents"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Chunks that had to be cut."""
     return splitting.oversized(table(spark, d, "chunks"), "chunk_id", "text")
@@ -103,7 +113,7 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p2_found, p2_text, p3_found, p3_text, p5_found, p5_pieces, p6_found, p7_found, p7_languages, p8_containers, p9_found, p9_spans, p10_found, p10_kinds, p10_statistics)}
+    p1_found, p2_found, p2_text, p3_found, p3_text, p4_found, p4_records, p5_found, p5_pieces, p6_found, p7_found, p7_languages, p8_containers, p9_found, p9_spans, p10_found, p10_kinds, p10_statistics)}
 
 _p3_chunks = lookalikes.consistent_sql("chunks", "doc_id, chunk_index", "text", False)
 _p3_authors = lookalikes.consistent_sql("(SELECT doc_id, CAST(-1 AS INTEGER) AS chunk_index, authors FROM documents)", "doc_id, chunk_index", "authors", True)
