@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from folioforge.plans import ingestion, markup, search, texts
+
+_parts = (search, texts, ingestion, markup)
+QUERIES: dict = {name: query for part in _parts for name, query in part.QUERIES.items()}
+ORACLE: dict = {name: sql for part in _parts for name, sql in part.ORACLE.items()}
