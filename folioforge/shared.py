@@ -48,6 +48,18 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as the cluster has cores.
+
+    Only inputs of fewer partitions (small files of one row group) are dealt out
+    again; anything larger is left as it is read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def local_path(path: str) -> str:
     """``file:`` URIs as plain paths, anything else unchanged."""
     parsed = urlparse(path)
