@@ -31,6 +31,7 @@ from folioforge.shared import cut
 
 DISTANCE = 1
 SHORTEST = 5  # letters of a family name that may hold a typing error
+FAMILIES_PER_BUCKET = 2_000
 NOBODY = ("et al.", "et al", "unknown", "n/a", "na", "-")
 
 # Romanisation of Cyrillic letters.
@@ -280,6 +281,7 @@ def _given_of_lists(name: str, n: int) -> list[tuple]:
 
 def variant_pairs(df: DataFrame, authors: str, distance: int = DISTANCE) -> DataFrame:
     """name_a, name_b: different spellings of one person or organisation, the smaller first."""
+    spark = df.sparkSession
     names = cut(listed_names(df, authors), "names")
     given = _map(names, _given_of_lists, "given string, family string").distinct().groupBy("given").count().filter("count >= 3")
     known = frozenset(r["given"] for r in given.collect())
@@ -294,13 +296,22 @@ def variant_pairs(df: DataFrame, authors: str, distance: int = DISTANCE) -> Data
     persons = records.filter("kind = 'p'")
     families = cut(persons.groupBy("family").agg(F.sum("n").alias("w")), "families")
 
+    # Shards and families are dealt to tasks by the bucket; one call serves all of a bucket's.
+    buckets = max(spark.sparkContext.defaultParallelism, families.count() // FAMILIES_PER_BUCKET)
+
+    def dealt(rows: DataFrame, by: str) -> DataFrame:
+        return rows.withColumn("bucket", F.pmod(F.xxhash64(by), F.lit(buckets))).repartition(buckets, "bucket")
+
     def join_shard(part: pd.DataFrame) -> pd.DataFrame:
-        backwards = part["shard"].iloc[0][0] == "b"
-        return pd.DataFrame(trie_join(sorted(part["family"]), distance, backwards), columns=["a", "b"])
+        out: list[tuple[str, str]] = []
+        for shard, own in part.groupby("shard")["family"]:
+            if len(own) > 1:
+                out += trie_join(sorted(own), distance, shard[0] == "b")
+        return pd.DataFrame(out, columns=["a", "b"])
 
     shards = families.filter(F.length("family") >= SHORTEST).select(
         F.explode(F.expr("array(concat('f', left(family, 3)), concat('b', right(family, 3)))")).alias("shard"), "family")
-    near_families = shards.groupBy("shard").applyInPandas(join_shard, "a string, b string").distinct()
+    near_families = dealt(shards, "shard").groupBy("bucket").applyInPandas(join_shard, "a string, b string").distinct()
     weight = families.select(F.col("family").alias("b"), F.col("w").alias("wb"))
     up = (
         near_families.join(weight, "b").join(families.select(F.col("family").alias("a"), F.col("w").alias("wa")), "a")
@@ -319,8 +330,14 @@ def variant_pairs(df: DataFrame, authors: str, distance: int = DISTANCE) -> Data
         return sorted(out)
 
     def link_people(part: pd.DataFrame) -> pd.DataFrame:
-        rows = list(part[["name", "given", "initials", "n"]].itertuples(index=False, name=None))
-        return pd.DataFrame(pairs_of(people(rows)) if len(rows) > 1 else [], columns=["name_a", "name_b"])
+        families_: dict[str, list] = defaultdict(list)
+        for h, *row in part[["h", "name", "given", "initials", "n"]].itertuples(index=False, name=None):
+            families_[h].append(tuple(row))
+        out: list[tuple[str, str]] = []
+        for rows in families_.values():
+            if len(rows) > 1:
+                out += pairs_of(people(rows))
+        return pd.DataFrame(out, columns=["name_a", "name_b"])
 
     def link_organisations(part: pd.DataFrame) -> pd.DataFrame:
         rows = sorted(zip(part["name"], part["words"]))
@@ -335,6 +352,6 @@ def variant_pairs(df: DataFrame, authors: str, distance: int = DISTANCE) -> Data
                 sets[at].add(name)
         return pd.DataFrame(pairs_of(sets), columns=["name_a", "name_b"])
 
-    found = placed.groupBy("h").applyInPandas(link_people, "name_a string, name_b string")
+    found = dealt(placed, "h").groupBy("bucket").applyInPandas(link_people, "name_a string, name_b string")
     organisations = records.filter("kind = 'o'").groupBy("family").applyInPandas(link_organisations, "name_a string, name_b string")
     return found.unionByName(organisations).distinct()
