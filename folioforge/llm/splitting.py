@@ -72,25 +72,31 @@ def _last(ends: np.ndarray, low: int, high: int) -> int:
 
 
 def cut_stretch(window: str, begin: int, end: int, limit: int, overlap: int) -> list[tuple[int, int]]:
-    """Cut ``window[begin:end]``; pieces may reach back before ``begin`` for their overlap."""
+    """Cut ``window[begin:end]``; pieces may reach back before ``begin`` for their overlap.
+
+    No piece but a whole stretch is so short that the next one's overlap would hold it all.
+    """
     table = boundary_table(window)
+    slack = min(SLACK, limit // 8)
+    least = overlap + slack + 1
 
     def back(at: int, floor: int) -> int:
         want = at - overlap
         if overlap <= 0 or want <= floor:
             return at if overlap <= 0 else floor
-        word = max(_last(table[4], max(floor, want - SLACK) - 1, want), _last(table[1], max(floor, want - SLACK) - 1, want))
+        low = max(floor, want - slack) - 1
+        word = max(_last(table[4], low, want), _last(table[1], low, want))
         return word if word >= 0 else want
 
     pieces, start, fresh = [], (back(begin, 0) if begin else 0), begin
     while end - start > limit:
-        at = -1
+        at, high = -1, min(start + limit, end - least)
         for level in table:
-            at = _last(level, max(fresh, start + limit // 2), start + limit)
+            at = _last(level, max(fresh, start + limit // 2), high)
             if at > 0:
                 break
         if at <= fresh:
-            at = start + limit
+            at = high
         pieces.append((start, at))
         start, fresh = back(at, start + 1), at
     pieces.append((start, end))
@@ -139,8 +145,8 @@ def _numbered(cuts: DataFrame) -> DataFrame:
 
 def boundary_cuts(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP, range_chars: int = RANGE, with_text: bool = True) -> DataFrame:
     """The pieces of every text longer than ``limit``: id, range_no, k, begin, end, heading, piece."""
-    if not 0 <= overlap < limit // 2:
-        raise ValueError("overlap must be below half the limit")
+    if not 0 <= overlap < limit * 3 // 8:
+        raise ValueError("overlap must be below three eighths of the limit")
     if range_chars < 2 * limit:
         raise ValueError("a range must hold at least two pieces")
     halo = overlap + SLACK + LOOK
