@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm.gru import BLANK, DIGIT, BiGRU, encode, points
+from folioforge.shared import spread
 
 LANGUAGES = ("en", "ru", "uk", "de", "fr", "es")
 # Names under which languages are delivered.
@@ -228,7 +229,7 @@ def sentence_languages(df: DataFrame, key: str, text: str, model: BiGRU, title:
                  pa.array([v[0] for v in found.values()], pa.int64()), pa.array([v[1] for v in found.values()], pa.float64())],
                 [key, "lang", "sentences", "weight"])
 
-    narrow = df.select(F.col(key).alias("id"), F.col(text).alias("t")).filter("length(t) >= 20")
+    narrow = spread(df.select(F.col(key).alias("id"), F.col(text).alias("t")).filter("length(t) >= 20"))
     return narrow.mapInArrow(run, f"{key} {kind.simpleString()}, lang string, sentences bigint, weight double")
 
 

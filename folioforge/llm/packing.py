@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.shared import cut
+from folioforge.shared import cut, spread
 
 CAPACITY = 2048
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -54,7 +54,7 @@ def token_sizes(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY
             sizes = [len(encode(t)) for t in batch.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int32())], ["id", "tokens"])
 
-    narrow = df.select(F.col(key).alias("id"), F.col(text).alias("t")).filter("t IS NOT NULL")
+    narrow = spread(df.select(F.col(key).alias("id"), F.col(text).alias("t")).filter("t IS NOT NULL"))
     kind = df.schema[key].dataType.simpleString()
     return narrow.mapInArrow(run, f"id {kind}, tokens int").withColumnRenamed("id", key)
 

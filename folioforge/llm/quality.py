@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm.quality_examples import EXAMPLES
-from folioforge.shared import cut
+from folioforge.shared import cut, spread
 
 KINDS = list(EXAMPLES)
 ROUNDS = 12
@@ -37,7 +37,7 @@ def _without(pattern: str) -> str:
 def statistics(df: DataFrame, key: str, text: str, common: list[str]) -> DataFrame:
     """Counts and shares of every text that is neither null nor blank, by built-in expressions."""
     words = ", ".join("'" + w.replace("\\", "").replace("'", "\\'") + "'" for w in sorted(set(common))) or "''"
-    base = df.select(F.col(key).alias("id"), F.col(text).alias("t")).filter(r"t rlike '\\S'")
+    base = spread(df.select(F.col(key).alias("id"), F.col(text).alias("t"))).filter(r"t rlike '\\S'")
     counted = base.selectExpr(
         "id", "length(t) AS n_chars",
         f"{_without(r'[\\p{L}\\p{M}]+')} AS letters",

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.shared import cut
+from folioforge.shared import cut, spread
 
 TIMES = 10  # a misread word is so many times rarer than the word meant
 SHARE = 0.002  # and stands in no more than this share of all texts
@@ -318,7 +318,7 @@ def _entries(text: str) -> set[str]:
 
 def _apply(df: DataFrame, column: str, keys: list[str], work, schema: str, shipped: int) -> DataFrame:
     """Run ``work(mender, batch columns)`` over all texts, the dictionaries shipped or, if large, joined."""
-    narrow = df.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col(column).cast("string").alias("t"))
+    narrow = spread(df.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col(column).cast("string").alias("t")))
     misread, actions = dictionaries(cut(corpus_counts(narrow, "t"), "counts"))
     entries = cut(misread.select(F.col("word").alias("entry"), F.col("meant")).unionByName(
         actions.select(F.col("pair").alias("entry"), F.concat(F.lit("\t"), "action").alias("meant"))), "entries")

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioforge.shared import spread as dealt
+
 K = 10
 ORDERINGS = 5  # trees that order the whole collection
 TREES = 8  # trees grown in each cell
@@ -162,7 +164,7 @@ def most_similar(df: DataFrame, key: str, vector: str, k: int = K, min_similarit
     spark = df.sparkSession
     rows = df.count()
     share = min(1.0, 1.5 * SAMPLE / max(1, rows))
-    narrow = df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("v")).filter("v IS NOT NULL")
+    narrow = dealt(df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("v")).filter("v IS NOT NULL"))
     picked = narrow.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * share)).limit(SAMPLE).select("v").toArrow()
     if dim is None:
         sizes = np.array([len(v) for v in picked.column("v").to_pylist()] or [1])
