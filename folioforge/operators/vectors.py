@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 QUERY_BLOCK = 1_000
 
@@ -56,6 +57,7 @@ def batch_top_k(df: DataFrame, vector: str, key: str, queries: DataFrame, query_
     if ids:
         blocks.append((ids, np.array(data, dtype=np.float64)))
     schema = f"q {query_kind}, id {key_kind}, score double"
+    query_type, key_type = to_arrow_type(queries.schema[query_key].dataType), to_arrow_type(df.schema[key].dataType)
     result = spark.createDataFrame([], schema)
     for ids, q in blocks:
         q = q / np.linalg.norm(q, axis=1, keepdims=True)
@@ -73,7 +75,7 @@ def batch_top_k(df: DataFrame, vector: str, key: str, queries: DataFrame, query_
                 # Rows as good as the last one taken stay, so that ties are broken by key later.
                 last = np.take_along_axis(s, at, 1).min(1)
                 a, b = np.nonzero(s >= np.floor(last[:, None] * 1e4) / 1e4) if take < len(own) else np.nonzero(np.ones_like(s, dtype=bool))
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in a]), pa.array(own[b]), pa.array(s[a, b])], ["q", "id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in a], query_type), pa.array(own[b], key_type), pa.array(s[a, b])], ["q", "id", "score"])
 
         narrow = df.filter(valid(vector, q.shape[1])).select(F.col(key).alias("id"), F.col(vector).alias("v"))
         result = result.unionByName(narrow.mapInArrow(run, schema))

@@ -138,13 +138,13 @@ def append_journal(records: DataFrame, path: str) -> None:
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """line_no, line of one text file."""
-    text = spark.read.option("wholetext", "true").text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.posexplode(F.split("value", "\r?\n")).alias("n", "line")).select((F.col("n") + 1).alias("line_no"), "line")
 
 
 def queries(spark: SparkSession, path: str) -> DataFrame:
     """tag, query, k of a JSON file in either shape, ``[[tag, query, k], ...]`` or ``{tag: [query, k]}``; of equal tags the last counts."""
-    raw = spark.read.option("wholetext", "true").text(path)
+    raw = spark.read.text(path, wholetext=True)
     listed = raw.filter(F.trim("value").startswith("[")).select(F.posexplode(F.from_json("value", "array<array<string>>")).alias("i", "x"))
     listed = listed.select("i", F.col("x")[0].alias("tag"), F.col("x")[1].alias("query"), F.try_element_at("x", F.lit(3)).cast("int").alias("k"))
     mapped = raw.filter(F.trim("value").startswith("{")).select(F.posexplode(F.from_json("value", "map<string,array<string>>")).alias("i", "tag", "x"))
