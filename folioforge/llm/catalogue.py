@@ -14,6 +14,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return similar.similar_pairs(table(spark, d, "vectors"), "chunk_id", "embedding", 0.90)
 
 
+def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most similar chunks of every chunk whose id is divisible by 50, against all chunks."""
+    return similar.most_similar(
+        table(spark, d, "vectors"), "chunk_id", "embedding", asking=F.col("chunk_id") % 50 == 0, probes=similar.PROBES, candidates=similar.CELL)
+
+
 def _scanned(spark: SparkSession, d: str) -> DataFrame:
     chunks = table(spark, d, "chunks").select("doc_id", "chunk_index", "text")
     return chunks.unionByName(table(spark, d, "documents").select("doc_id", F.lit(-1).alias("chunk_index"), F.col("abstract").alias("text")))
@@ -113,7 +119,7 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p2_found, p2_text, p3_found, p3_text, p4_found, p4_records, p5_found, p5_pieces, p6_found, p7_found, p7_languages, p8_containers, p9_found, p9_spans, p10_found, p10_kinds, p10_statistics)}
+    p1_found, p1_neighbours, p2_found, p2_text, p3_found, p3_text, p4_found, p4_records, p5_found, p5_pieces, p6_found, p7_found, p7_languages, p8_containers, p9_found, p9_spans, p10_found, p10_kinds, p10_statistics)}
 
 _p3_chunks = lookalikes.consistent_sql("chunks", "doc_id, chunk_index", "text", False)
 _p3_authors = lookalikes.consistent_sql("(SELECT doc_id, CAST(-1 AS INTEGER) AS chunk_index, authors FROM documents)", "doc_id, chunk_index", "authors", True)

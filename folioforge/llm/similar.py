@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.shared import spread as dealt
@@ -35,6 +35,7 @@ BITS = 24
 CELL = 32_768
 CANDIDATES = 1_500
 SAMPLE = 20_000
+PROBES = 2  # further cells of each ordering that the rows of a query set are sent to
 SEED = 5
 
 
@@ -67,9 +68,14 @@ def unit_rows(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return rows, (x[good] / norm[good][:, None]).astype(np.float32)
 
 
-def forest_pairs(keys: np.ndarray, x: np.ndarray, centre: np.ndarray, k: int, min_similarity: float | None, trees: int, candidates: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, neighbour row, similarity) of the k most similar candidates of each row."""
+def forest_pairs(
+    keys: np.ndarray, x: np.ndarray, centre: np.ndarray, k: int, min_similarity: float | None, trees: int, candidates: int, seed: int,
+    asks: np.ndarray | None = None, stored: np.ndarray | None = None,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, neighbour row, similarity) of the k most similar candidates of each row that asks, among the stored ones."""
     n = len(x)
+    asks = np.ones(n, dtype=bool) if asks is None else asks
+    stored = np.ones(n, dtype=bool) if stored is None else stored
     bits = min(BITS, max(1, int(np.ceil(np.log2(max(2, n)))) + 4))
     shifted = x - centre
     orders, sorted_codes = [], []
@@ -97,11 +103,12 @@ def forest_pairs(keys: np.ndarray, x: np.ndarray, centre: np.ndarray, k: int, mi
             p = c >> (bits - int(length))
             first = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1])))
             ends = np.append(first[1:], n)
-            wanted = np.add.reduceat((of == length).astype(np.int64), first)
+            wanted = np.add.reduceat(((of == length) & asks[order]).astype(np.int64), first)
             for g in np.flatnonzero(wanted):
                 low, high = first[g], ends[g]
                 members = order[low:high]
-                queries = members[of[low:high] == length]
+                queries = members[(of[low:high] == length) & asks[members]]
+                members = members[stored[members]]
                 for q0 in range(0, len(queries), 2048):
                     q = queries[q0 : q0 + 2048]
                     for m0 in range(0, len(members), 8192):
@@ -148,6 +155,33 @@ class Layout:
             # A cell that holds far more than its share, of equal vectors, is dealt out further.
             self.shares.append(np.maximum(1, (held * rows / (4 * cell)).astype(np.int64)))
 
+    def near(self, x: np.ndarray, t: int, probes: int) -> list[np.ndarray]:
+        """Up to ``probes`` further cells of each row in one ordering: those reached by turning its least certain letters; -1 for none."""
+        letters = min(48, max(1, int(np.ceil(np.log2(len(self.bounds[t]) + 1))) + 1))
+        d = self.directions[t]
+        margin = (x - self.centre) @ d
+        own = codes(x - self.centre, d)
+        doubt = np.argsort(np.abs(margin[:, :letters]), axis=1)
+        seen = [np.searchsorted(self.bounds[t], own, side="right")]
+        out = []
+        for pick in range(1, 1 << min(letters, 6)):
+            turned = own.copy()
+            for j in range(min(letters, 6)):
+                if pick >> j & 1:
+                    turned ^= np.int64(1) << (47 - doubt[:, j])
+            cell = np.searchsorted(self.bounds[t], turned, side="right")
+            fresh = np.all([cell != s for s in seen], axis=0)
+            if len(out) < probes:
+                out.append(np.where(fresh, cell, -1))
+                seen.append(cell)
+            else:
+                for o in out:
+                    late = fresh & (o < 0)
+                    o[late] = cell[late]
+                    fresh &= ~late
+                seen.append(cell)
+        return out
+
     def place(self, x: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """Cell of each row in each ordering: one number, rows x orderings."""
         out = np.empty((len(x), self.orderings), dtype=np.int64)
@@ -159,12 +193,20 @@ class Layout:
         return out
 
 
-def most_similar(df: DataFrame, key: str, vector: str, k: int = K, min_similarity: float | None = None, dim: int | None = None, orderings: int = ORDERINGS, trees: int = TREES, candidates: int = CANDIDATES, cell: int = CELL) -> DataFrame:
-    """key, neighbour, similarity: the k most similar other keys of every key found by the forest."""
+def most_similar(
+    df: DataFrame, key: str, vector: str, k: int = K, min_similarity: float | None = None, dim: int | None = None, orderings: int = ORDERINGS, trees: int = TREES, candidates: int = CANDIDATES, cell: int = CELL,
+    asking: Column | None = None, probes: int = 0,
+) -> DataFrame:
+    """key, neighbour, similarity, rank: the k most similar other keys of every key found by the forest.
+
+    ``asking``: only rows for which it holds ask for neighbours (all rows are
+    stored); these few are also sent to ``probes`` further cells of each ordering.
+    """
     spark = df.sparkSession
     rows = df.count()
     share = min(1.0, 1.5 * SAMPLE / max(1, rows))
-    narrow = dealt(df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("v")).filter("v IS NOT NULL"))
+    ask = F.lit(True) if asking is None else F.coalesce(asking, F.lit(False))
+    narrow = dealt(df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("v"), ask.alias("ask")).filter("v IS NOT NULL"))
     picked = narrow.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * share)).limit(SAMPLE).select("v").toArrow()
     if dim is None:
         sizes = np.array([len(v) for v in picked.column("v").to_pylist()] or [1])
@@ -175,23 +217,37 @@ def most_similar(df: DataFrame, key: str, vector: str, k: int = K, min_similarit
         for batch in batches:
             at, x = unit_rows(batch.column("v"), dim)
             ids = batch.column("id").to_numpy(zero_copy_only=False)[at].astype(np.int64)
+            asks = batch.column("ask").to_numpy(zero_copy_only=False)[at].astype(bool)
             half = x.astype(np.float16)
+
+            def rows(which: np.ndarray, cells: np.ndarray, role: np.ndarray) -> pa.RecordBatch:
+                raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * dim), len(which), [None, pa.py_buffer(np.ascontiguousarray(half[which]))])
+                return pa.RecordBatch.from_arrays([pa.array(cells), pa.array(ids[which]), pa.array(role.astype(np.int8)), raw.cast(pa.binary())], ["cell", "id", "role", "x"])
+
+            every = np.arange(len(ids))
             for t, cells in enumerate(layout.place(x, ids.astype(np.uint64)).T):
-                raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * dim), len(half), [None, pa.py_buffer(np.ascontiguousarray(half))])
-                yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(ids), raw.cast(pa.binary())], ["cell", "id", "x"])
+                yield rows(every, cells, asks)
+                if probes and asks.any():
+                    who = np.flatnonzero(asks)
+                    for c in layout.near(x[who], t, probes):
+                        go = c >= 0
+                        for part in range(int(layout.shares[t][c[go]].max()) if go.any() else 0):
+                            to = go & (part < layout.shares[t][np.maximum(c, 0)])
+                            yield rows(who[to], (t << 44) + (c[to].astype(np.int64) << 16) + part, np.full(int(to.sum()), 2))
 
     def grow(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        ids = table.column("id").to_numpy()
+        ids, role = table.column("id").to_numpy(), table.column("role").to_numpy()
         _, once = np.unique(ids, return_index=True)
         raw = b"".join(table.column("x").take(pa.array(once)).to_pylist())
         x = np.frombuffer(raw, dtype=np.float16).reshape(-1, dim).astype(np.float32)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        ids = ids[once]
-        a, b, s = forest_pairs(ids, x, layout.centre, k, min_similarity, trees, candidates, SEED + 7 * int(table.column("cell")[0].as_py() >> 44))
+        ids, role = ids[once], role[once]
+        seed = SEED + 7 * int(table.column("cell")[0].as_py() >> 44)
+        a, b, s = forest_pairs(ids, x, layout.centre, k, min_similarity, trees, candidates, seed, role > 0, role < 2)
         return pa.table([pa.array(ids[a]), pa.array(ids[b]), pa.array(s.astype(np.float32))], names=["id", "neighbour", "similarity"])
 
-    cells = narrow.mapInArrow(spread, "cell bigint, id bigint, x binary")
+    cells = narrow.mapInArrow(spread, "cell bigint, id bigint, role tinyint, x binary")
     found = cells.groupBy("cell").applyInArrow(grow, "id bigint, neighbour bigint, similarity float")
     best = found.groupBy("id", "neighbour").agg(F.max("similarity").alias("similarity"))
     order = Window.partitionBy("id").orderBy(F.round("similarity", 5).desc(), "neighbour")
