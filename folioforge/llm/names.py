@@ -40,6 +40,8 @@ ROMAN = {
     "м": "m", "н": "n", "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh",
     "щ": "shch", "ъ": "", "ы": "y", "ь": "", "э": "e", "ю": "yu", "я": "ya", "і": "i", "ї": "yi", "є": "ye", "ґ": "g",
 }
+# Letters that ways of romanising write differently, as one of them writes them.
+WAYS = (("shch", "sch"), ("zh", "j"), ("kh", "h"), ("ts", "c"), ("ya", "ia"), ("yu", "iu"), ("ye", "e"), ("yo", "io"))
 # Familiar forms of given names.
 FAMILIAR = {
     "alex": "alexander alexandra", "sasha": "alexander alexandra", "al": "albert alexander", "bella": "isabella", "bob": "robert", "rob": "robert", "borya": "boris",
@@ -294,7 +296,12 @@ def variant_pairs(df: DataFrame, authors: str, distance: int = DISTANCE) -> Data
 
     records = cut(_map(names, record, "name string, n bigint, kind string, family string, given string, initials string, words array<string>"), "name-records")
     persons = records.filter("kind = 'p'")
-    families = cut(persons.groupBy("family").agg(F.sum("n").alias("w")), "families")
+    written = F.col("family")
+    for way, other in WAYS:
+        written = F.replace(written, F.lit(way), F.lit(other))
+    families = cut(persons.groupBy("family").agg(F.sum("n").alias("w")).withColumn("way", written), "families")
+    # The most frequent family of each romanised form stands for it among the forms.
+    leading = families.groupBy("way").agg(F.max(F.struct("w", "family")).alias("m")).select("way", F.col("m.family").alias("lead"))
 
     # Shards and families are dealt to tasks by the bucket; one call serves all of a bucket's.
     buckets = max(spark.sparkContext.defaultParallelism, families.count() // FAMILIES_PER_BUCKET)
@@ -304,14 +311,19 @@ def variant_pairs(df: DataFrame, authors: str, distance: int = DISTANCE) -> Data
 
     def join_shard(part: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[str, str]] = []
-        for shard, own in part.groupby("shard")["family"]:
+        for shard, own in part.groupby("shard"):
             if len(own) > 1:
-                out += trie_join(sorted(own), distance, shard[0] == "b")
+                of = dict(zip(own["word"], own["family"]))
+                out += [(of[a], of[b]) for a, b in trie_join(sorted(of), distance, shard[0] in "bB")]
         return pd.DataFrame(out, columns=["a", "b"])
 
-    shards = families.filter(F.length("family") >= SHORTEST).select(
-        F.explode(F.expr("array(concat('f', left(family, 3)), concat('b', right(family, 3)))")).alias("shard"), "family")
-    near_families = dealt(shards, "shard").groupBy("bucket").applyInPandas(join_shard, "a string, b string").distinct()
+    ends = "array(concat('{0}', left(word, 3)), concat('{1}', right(word, 3)))"
+    raw = families.select(F.col("family").alias("word"), "family")
+    forms = leading.select(F.col("way").alias("word"), F.col("lead").alias("family"))
+    shards = raw.select(F.explode(F.expr(ends.format("f", "b"))).alias("shard"), "word", "family").unionByName(
+        forms.select(F.explode(F.expr(ends.format("F", "B"))).alias("shard"), "word", "family")).filter(F.length("word") >= SHORTEST)
+    to_lead = families.join(leading, "way").filter("family != lead").select(F.col("family").alias("a"), F.col("lead").alias("b"))
+    near_families = dealt(shards, "shard").groupBy("bucket").applyInPandas(join_shard, "a string, b string").unionByName(to_lead).distinct()
     weight = families.select(F.col("family").alias("b"), F.col("w").alias("wb"))
     up = (
         near_families.join(weight, "b").join(families.select(F.col("family").alias("a"), F.col("w").alias("wa")), "a")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from folioforge.shared import spread as dealt
 
 K = 10
-ORDERINGS = 5  # trees that order the whole collection
+ORDERINGS = 6  # trees that order the whole collection
 TREES = 8  # trees grown in each cell
 BITS = 24
 CELL = 32_768

@@ -55,11 +55,12 @@ def test_organisations():
 
 
 def test_rows(spark):
-    lists = ["Kolbenko, Nikolai; Sundt, A.", " N. Kolbenko ;et al.;;unknown", "Nikolai Kolbenko; Kolbenk, Nikolai", "Kolbenko, Irina", None, "", "Kolbenko, Nikolai; Sundt, A.", "Колбенко, Н.", "n/a"]
+    lists = ["Kolbenko, Nikolai; Sundt, A.", " N. Kolbenko ;et al.;;unknown", "Nikolai Kolbenko; Kolbenk, Nikolai", "Kolbenko, Irina", None, "", "Kolbenko, Nikolai; Sundt, A.", "Колбенко, Н.", "n/a", "Zhirkhotsyan, Boris", "Jirhocian, Boris", "Jirhocin, B."]
     lists += [f"Other{c}man, Nikolai; Irina Other{c}man" for c in "abc"]
     df = spark.createDataFrame([(a, "x") for a in lists], "authors string, name_a string")
     got = {tuple(r) for r in variant_pairs(df, "authors").collect()}
     same = sorted(["Kolbenko, Nikolai", "N. Kolbenko", "Nikolai Kolbenko", "Kolbenk, Nikolai", "Колбенко, Н."])
     assert {p for p in got if "olbenk" in p[0].lower() or "олбенк" in p[1]} == set(itertools.combinations(same, 2))
+    assert set(itertools.combinations(["Jirhocian, Boris", "Jirhocin, B.", "Zhirkhotsyan, Boris"], 2)) <= got
     assert all(a < b for a, b in got) and not any("unknown" in p or "et al." in p for p in got)
     assert variant_pairs(df.limit(0), "authors").count() == 0
