@@ -89,7 +89,7 @@ class Sentences:
 
         n = lengths - 1
         letters, words, capitals, upper = total(letter), total(word), total(capital), total(letter & _CAPITAL[small])
-        digits, semicolons, commas = total(code == DIGIT), total(small == ord(";")), total((small == ord(",")) | (small == ord("|")) | (small == 9))
+        digits, semicolons, commas = total(code == DIGIT), total(small == ord(";")), total((small == ord(",")) | (small == ord("|")) | ((small == 9) & np.concatenate((code[1:] == DIGIT, [False]))))
         dots, numeric_commas = total(small == ord(".")), total((small == ord(",")) & np.concatenate((code[1:] == DIGIT, [False])))
         commas = commas - np.minimum(numeric_commas, digits)
         shouted = upper > 0.8 * letters

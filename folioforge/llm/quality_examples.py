@@ -25,6 +25,13 @@ _WRAPPED = [
     "The survey started in May and ended with the first frost\nAbout 61.5 % of the nests were found in the hedges along the road\nNo change was seen in the meadow, because it is mown twice a year.\nIt follows that the birds prefer a place with thorns",
     "Обследование начали в мае и закончили с первыми морозами\nОколо 61,5 % гнёзд нашли в живых изгородях вдоль дороги\nНа лугу изменений не заметили, потому что его косят дважды в год.",
 ]
+_UNSTOPPED = [
+    "The rate of growth rose from 12.5 to 37.9 cm after 18 weeks of mild weather\nAbout 41.2 % of the seedlings were lost to frost, and the count was repeated in May\nNo such loss was seen for the older trees, because the bark was thicker\nIt follows that the slope and the wind act together, and that the rain matters little",
+    "Conclusions\nCompared with the older method, the new one needed 3.4 hours less per field\nWhen the hedge was cut 12 times, its height fell slowly but the number of nests did not change\nThe energy used was 18.7 kJ per turn in the range from 20 to 45 turns",
+    "С ростом высоты число видов снижалось от 45,2 до 12,7 на участок\nОколо 38,4 % семян осталось на дереве, счёт сходится с точностью 2,1 %\nДля старых деревьев такого изменения не наблюдали, поскольку кора толще\nОтсюда следует, что склон и ветер действуют вместе, а роль дождя невелика",
+    "Etwa 41,5 % der Samen fanden sich im Boden, und die Zählung stimmte auf 2,5 % genau\nNach 15 Wochen lag die Höhe bei 86,5 cm\nBei den alten Bäumen war keine solche Änderung zu sehen, weil die Rinde dicker war",
+    "Environ 41,5 % des graines se retrouvent dans le sol, et le compte se ferme à 2,1 % près\nAucune variation de ce genre n'a été observée dans le cas des vieux arbres, car l'écorce était plus épaisse\nAprès 15 semaines, la hauteur atteint 86,5 cm",
+]
 _TITLED = [
     "Introduction\n\nThe first part of the book tells how the harbour was built. In the second part the writer returns to the same streets after 40 years.\n\nResults\n\nMost of the houses were still there, and the people in them had kept the letters. It follows that the archive is almost complete.\n\n1) the church;\n2) the school;\n3) the mill.",
     "ВЫВОДЫ\n\nПосле 25 дней наблюдений уровень воды не изменился, но течение стало заметно медленнее. Отсюда следует, что плотина работает исправно, а роль ветра невелика.\n\nМетодика\n\nУровень измеряли утром и вечером с точностью 0,5 см.",
@@ -46,6 +53,11 @@ _BULLETS = [
     "\n".join(f"{i}) {x}" for i, x in enumerate(("des poires sèches", "du sucre roux, 20 g", "de la farine", "du beurre doux, 60 g", "du sel"), 1)),
     "\n".join(f"+ {x}" for x in ("getrocknete Birnen, 35 g", "Roggenmehl", "Hefe, 7 g", "Salz", "Butter, 60 g", "Wasser")),
 ]
+_PLAIN = [
+    "\n".join(("walnut oil, 30 g", "rye flour", "honey, 15 g", "dried figs, 240 g", "a pinch of salt", "warm water", "yeast, 5 g", "brown sugar, 60 g", "linen cloth")),
+    "\n".join(("сухого мха, 140 г", "речного песка", "глины, 25 г", "берёзовой коры, 70 г", "смолы", "воска, 8 г", "льняной ткани")),
+    "\n".join(("de la farine, 90 g", "du sucre roux", "du beurre doux, 60 g", "du sel", "des poires sèches, 210 g", "de l'huile de noix, 12 g")),
+]
 _INDEX = [
     "\n".join(("apple trees ........... 12, 48", "barley , 7, 95, 201", "bees ................ 33", "clover , 140", "drainage ..... 18, 22, 76", "elder , 64", "fences .......... 5, 9, 310")),
     "\n".join(("берёза ............... 41, 77", "вереск , 16", "дуб , 25, 108, 233", "ель ........ 9, 14", "ива , 302", "клён ................ 88, 91")),
@@ -97,8 +109,8 @@ def _noise(seed: int) -> dict[str, list[str]]:
 
 #: class -> groups of examples
 EXAMPLES: dict[str, list[list[str]]] = {
-    "prose": [_PROSE, _WRAPPED, _TITLED, _SHORT],
-    "list": [_BULLETS, _INDEX, _INLINE, _REFERENCES],
+    "prose": [_PROSE, _WRAPPED, _UNSTOPPED, _TITLED, _SHORT],
+    "list": [_BULLETS + _PLAIN, _INDEX, _INLINE, _REFERENCES],
     "table": [_TABLES[0] + _TABLES[3], _TABLES[1] + _TABLES[2], _TABLES[4]],
     "junk": list(_noise(11).values()),
 }
