@@ -30,38 +30,34 @@ FLOOR = 0.02  # added to each variance of the standardised statistics
 TOLERANCE = 1e-3
 
 
-def _without(pattern: str) -> str:
-    return f"(length(t) - length(regexp_replace(t, '{pattern}', '')))"
-
-
 def statistics(df: DataFrame, key: str, text: str, common: list[str]) -> DataFrame:
     """Counts and shares of every text that is neither null nor blank, by built-in expressions."""
     words = ", ".join("'" + w.replace("\\", "").replace("'", "\\'") + "'" for w in sorted(set(common))) or "''"
     base = spread(df.select(F.col(key).alias("id"), F.col(text).alias("t"))).filter(r"t rlike '\\S'")
     # Blanks of any kind are blanks, and words set wide apart or one to a line are still running text.
-    plain = r"regexp_replace(t, '[\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{202F}\\x{205F}\\x{3000}]', ' ')"
-    wide = rf"regexp_replace({plain}, '(?<=[\\p{{L}},])(?: {{2,}}|\\t[ \\t]*)(?=\\p{{Ll}})', ' ')"
-    base = base.selectExpr("id", rf"regexp_replace({wide}, '(?<=[^\\n]{{40}}[\\p{{L}},])\\n(?=\\p{{Ll}})|\\n(?=[\\p{{Ll}}\\p{{Nd}}%°(][^\\s;,|]*(?:\\n|$))', ' ') AS t")
+    blank = r"\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{202F}\\x{205F}\\x{3000}"
+    one_to_a_line = r"\\n(?=[\\p{Ll}\\p{Nd}%°(][^\\s;,|]*(?:\\n|$))"
+    wide = rf"(?=[ \\t\\n{blank}])(?:[{blank}]| {{2,}}(?=\\p{{Ll}})|\\t[ \\t]*(?=\\p{{Ll}})|\\n(?=\\p{{Ll}})(?<=[^\\n]{{40}}[\\p{{L}},]\\n)|{one_to_a_line})"
+    base = base.selectExpr("id", f"regexp_replace(t, '{wide}', ' ') AS t")
     counted = base.selectExpr(
         "id", "length(t) AS n_chars",
-        f"{_without(r'[\\p{L}\\p{M}]+')} AS letters",
-        f"{_without(r'\\p{Nd}+')} AS digits",
-        f"{_without(r'\\s+')} AS blanks",
+        r"regexp_count(t, '[^\\p{L}\\p{M}\\p{Nd}\\s]') AS symbols",
+        r"regexp_count(t, '\\p{Nd}') AS digits",
         r"regexp_count(t, '\\S+') AS n_tokens",
         r"split(lower(t), '[^\\p{L}\\p{M}]+') AS w",
         r"regexp_count(t, '[^\\n]*[^\\s][^\\n]*') AS n_lines",
         r"regexp_count(t, '[.!?…:][\\)\"»”]*[^\\S\\n]*(?:\\n|$)') AS ended_lines",
         r"regexp_count(t, '(?m)^[^\\S\\n]*(?:[-–—*•·+]|\\(?\\d{1,3}[.\\)]|\\[\\d+\\]|\\p{L}\\))[^\\S\\n]') AS marked_lines",
         r"regexp_count(t, '[.!?…][\\)\"»”]*(?:\\s|$)') AS sentence_ends",
-        r"regexp_count(t, '[|\\t;]|,(?=[^\\s\\d])|,(?=\\d+[.])|[^\\s] {2,}(?=[^\\s])|[.] ?[.] ?[.]| , ') AS separators",
-        r"regexp_count(t, '\\p{L}\\p{Nd}|\\p{Nd}\\p{L}') AS mixed",
+        r"regexp_count(t, '(?=[|\\t;,. ])(?:[|\\t;]|,(?=[^\\s\\d])|,(?=\\d+[.])| {2,}(?=\\S)|[.] ?[.] ?[.]| , )') AS separators",
+        r"regexp_count(t, '\\p{Nd}(?:(?=\\p{L})|(?<=\\p{L}\\p{Nd}))') AS mixed",
         r"regexp_count(t, '[\\x{0080}-\\x{009F}\\x{00A1}-\\x{00A9}\\x{00AC}-\\x{00AF}\\x{00B1}-\\x{00B6}\\x{00B8}-\\x{00BA}\\x{00BC}-\\x{00BE}ÐÑÃÂâ€]') AS odd",
         r"regexp_count(t, '(?m)^[^\\S\\n]*\\S+(?:[^\\S\\n]+\\S+){0,2}[^\\S\\n]*$') AS brief_lines",
     )
     full = counted.selectExpr(
         "*", "filter(w, x -> x != '') AS ws").selectExpr(
-        "id", "n_chars", "letters", "digits", "n_chars - letters - digits - blanks AS symbols", "n_tokens", "size(ws) AS n_words",
-        f"size(filter(ws, x -> x IN ({words}))) AS n_common", "aggregate(transform(sequence(0, greatest(0, (size(ws) - 1) div 120)), i -> size(array_distinct(slice(ws, i * 120 + 1, 120)))), 0, (a, b) -> a + b) AS n_distinct",
+        "id", "n_chars", "length(array_join(ws, '')) AS letters", "digits", "symbols", "n_tokens", "size(ws) AS n_words",
+        f"size(filter(ws, x -> x IN ({words}))) AS n_common", "size(array_distinct(ws)) AS n_distinct",
         "greatest(n_lines, 1) AS n_lines", "ended_lines", "marked_lines", "sentence_ends", "separators", "mixed", "odd", "brief_lines")
     return full.selectExpr(
         "id", "n_chars", "n_words", "n_lines",
@@ -75,7 +71,8 @@ def statistics(df: DataFrame, key: str, text: str, common: list[str]) -> DataFra
         "separators / n_tokens AS separator_ratio",
         "mixed / n_tokens AS mixed_ratio", "odd / n_chars AS odd_ratio",
         "least(1d, brief_lines / n_lines) AS brief_line_share",
-        "if(n_words = 0, 1d, n_distinct / n_words) AS variety")  # distinct words within every 120, so that length does not matter
+        # Of a long text's words, few are new: beyond 400 the length no longer counts.
+        "if(n_words = 0, 1d, least(1d, ln(1 + n_distinct) / ln(1 + least(n_words, 400)))) AS variety")
 
 
 #: What the mixture sees of the statistics.
