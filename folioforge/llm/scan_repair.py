@@ -54,6 +54,9 @@ EDGE = re.compile(r"\d|[/·|—]")
 ENDED = re.compile(r"[.!?:;…][)\"»”']*\s*$")
 SHOUTED = re.compile(r"\s*(?:\d{1,4}\s{2,}[^a-zа-яёіїє\d\n]{3,}|[^a-zа-яёіїє\d\n]{3,}\s{2,}\d{1,4})\s*")
 CAPITALISED = re.compile(r"[^\W\d_a-zà-öø-ÿа-яёіїє][^\W\d_]{2,}")
+LINKING = re.compile(r"on|of|and|the|et|al\.|in|[\d,.()–-]+|[/·|—]")
+FIGURE = re.compile(r"\(?\d{1,4}(?:[–-]\d{1,4})?\)?,?")
+SIGNS = {"/", "·", "|", "—", "–"}
 REFERENCE = re.compile(r"\s*(?:\[\d+\]|\d+\.\s+[^\W\d_]+ [A-ZА-Я]\.)")
 
 # What scanners take for one another, longer forms first.
@@ -251,22 +254,35 @@ class Mender:
         return meant[:1].upper() + meant[1:] if word[:1].isupper() else meant
 
     def _inline(self, line: str) -> str:
-        """Without headers that ran into the line: header words with the numbers and signs about them."""
+        """Without headers that ran into the line: runs of header words with the numbers and signs that belong to them."""
         if not self.header or REFERENCE.match(line):
             return line
-        tokens = re.split(r"(\s+)", line)
-        is_header = [bool(t.strip()) and any(w.lower() in self.header for w in CAPITALISED.findall(t)) for t in tokens]
-        if sum(is_header) < 2:
+        parts = re.split(r"(\s+)", line)
+        words = parts[0::2]
+        at = [i for i, t in enumerate(words) if any(w.lower() in self.header for w in CAPITALISED.findall(t))]
+        if len(at) < 2:
             return line
-        drop = list(is_header)
-        for i, yes in enumerate(is_header):
-            if yes:
-                for step in (-1, 1):
-                    k = i + 2 * step
-                    while 0 <= k < len(tokens) and re.fullmatch(r"[\d,.()/|·–—-]+|on|of|and|et|al\.?|[A-Z][\w'-]+", tokens[k].strip()) and not is_header[k] and not DECIMAL.search(tokens[k]):
-                        drop[k] = True
-                        k += 2 * step
-        return "".join(t for t, gone in zip(tokens, drop) if not gone)
+        runs: list[list[int]] = []
+        for i in at:
+            if runs and all(LINKING.fullmatch(t) for t in words[runs[-1][1] + 1 : i]):
+                runs[-1][1] = i
+            else:
+                runs.append([i, i])
+        gone: set[int] = set()
+        for low, high in runs:
+            while high + 1 < len(words) and FIGURE.fullmatch(words[high + 1]):
+                own = words[high + 1]
+                follows = words[high].endswith(",") or re.search(r"[,)–-]", own) or (high + 2 < len(words) and words[high + 2].startswith("("))
+                if not follows or DECIMAL.search(own):
+                    break
+                high += 1
+            while high + 1 < len(words) and words[high + 1] in SIGNS:
+                high += 1
+            while low > 0 and (words[low - 1] in SIGNS or words[low] in SIGNS and (FIGURE.fullmatch(words[low - 1]) or words[low - 1] == "al." or words[low - 1][:1].isupper() and low > 1 and words[low - 2] in SIGNS)
+                               or words[low] == "al." and words[low - 1] == "et" or words[low] == "et"):
+                low -= 1
+            gone.update(range(low, high + 1))
+        return " ".join(t for i, t in enumerate(words) if i not in gone) if not line[:1].isspace() else parts[1] + " ".join(t for i, t in enumerate(words) if i not in gone and t)
 
     def mend(self, text: str | None) -> str | None:
         if not text:

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from folioforge.llm.scan_repair import PAGE, damaged_texts, repaired_texts, skeleton
+from folioforge.llm.scan_repair import PAGE, Mender, damaged_texts, repaired_texts, skeleton
 
 WORDS = "the boiler holds water until pressure reaches seven bars and stokers carry charcoal through narrow corridors toward furnaces below".split()
 SCHEMA = "doc_id bigint, chunk_index int, text string, repaired string"
@@ -55,3 +55,16 @@ def test_forms():
         assert PAGE.fullmatch(line), line
     for line in ("5. Methods", "S1 4.2", "12345", "1) straw;", "mix of two"):
         assert not PAGE.fullmatch(line), line
+
+
+def test_headers_inside_a_line():
+    header = {w: "header" for w in ("letters", "steam", "craft", "archive", "colloid", "measurements")}
+    m = Mender({}, header)
+    for given, plain in (
+        ("was regenerated 951 | Archive of Colloid Measurements 8 times", "was regenerated 8 times"),
+        ("boilers Letters on Steam Craft Letters on Steam Craft 2025, 78, 576 2025, 78, 576 hold water", "boilers hold water"),
+        ("they hold — Kolb · Letters on Steam Craft — water of wells", "they hold water of wells"),
+        ("they hold Kolb et al. / Letters on Steam Craft 27 (2023) 427–434 water", "they hold water"),
+        ("[3] Kolb A. Letters on Steam Craft, 2005", "[3] Kolb A. Letters on Steam Craft, 2005"),
+    ):
+        assert m._inline(given).replace("Kolb ", "") == plain.replace("Kolb ", "") or m._inline(given) == plain, given
