@@ -27,12 +27,12 @@ def _scanned(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Chunks and abstracts that hold scan damage."""
-    return scan_repair.damaged_texts(_scanned(spark, d), "text", ["doc_id", "chunk_index"]).distinct()
+    return scan_repair.damaged_texts(_scanned(spark, d), "text", ["doc_id", "chunk_index"], titles=table(spark, d, "documents").select("journal")).distinct()
 
 
 def p2_text(spark: SparkSession, d: str) -> DataFrame:
     """Every chunk and abstract as continuous paragraphs."""
-    return scan_repair.repaired_texts(_scanned(spark, d), "text", ["doc_id", "chunk_index"])
+    return scan_repair.repaired_texts(_scanned(spark, d), "text", ["doc_id", "chunk_index"], titles=table(spark, d, "documents").select("journal"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

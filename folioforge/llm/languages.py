@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import random
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +44,8 @@ TRAIN_ROWS = 3_000
 WINDOW = 96
 HIDDEN = 16
 CONFIDENCE = 0.75
+INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060-\u2064\ufeff]")
+ODD = re.compile("[\u0300-\u036f\u00ad\u200b-\u200f\u2060-\u2064\ufb00-\ufb06\ufeff\uff01-\uff5e]")
 TITLE_BREAK = re.compile(r"\s+(?:=|//?)\s+")
 OTHER = len(LANGUAGES)
 
@@ -69,6 +72,8 @@ class Sentences:
         parts, rows = [], []
         for row, text in enumerate(texts):
             if text:
+                if not text.isascii() and ODD.search(text):
+                    text = unicodedata.normalize("NFKC", INVISIBLE.sub("", text))
                 split = TITLE_BREAK.split(text) if title else BREAK.split(text)
                 parts += split
                 rows += [row] * len(split)

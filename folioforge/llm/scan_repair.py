@@ -53,6 +53,10 @@ DECIMAL = re.compile(r"\d[.,]\d|[%°]")
 EDGE = re.compile(r"\d|[/·|—]")
 ENDED = re.compile(r"[.!?:;…][)\"»”']*\s*$")
 SHOUTED = re.compile(r"\s*(?:\d{1,4}\s{2,}[^a-zа-яёіїє\d\n]{3,}|[^a-zа-яёіїє\d\n]{3,}\s{2,}\d{1,4})\s*")
+#: The same run into a line of small letters: a number and a shouted name, or a shouted title and a number.
+RUN_IN = re.compile(r"(?:(?<=[^\W\d_A-ZÀ-ÖØ-ÞА-ЯЁІЇЄ] )|(?<=[\d%.,°] ))(?:\d{1,4}\s{2,}[A-ZÀ-ÖØ-ÞА-ЯЁІЇЄ][A-ZÀ-ÖØ-ÞА-ЯЁІЇЄ'-]{3,}|[A-ZÀ-ÖØ-ÞА-ЯЁІЇЄ][A-ZÀ-ÖØ-ÞА-ЯЁІЇЄ' ,:()-]{11,}\s{2,}\d{1,4})(?=\s|$)")
+ISSUE = r"(?:,? \d{4}, \d+, \d+| \d+ \(\d{4}\)(?: \d+[–-]\d+)?|,? Vol\. \d+ \(\d{4}\)| —)?"
+BEFORE_TITLE = r"(?:\d{1,4} \| |— [^—\n]{2,30} · |[^\s]+ et al\. / )?"
 CAPITALISED = re.compile(r"[^\W\d_a-zà-öø-ÿа-яёіїє][^\W\d_]{2,}")
 LINKING = re.compile(r"on|of|and|the|et|al\.|in|[\d,.()–-]+|[/·|—]")
 FIGURE = re.compile(r"\(?\d{1,4}(?:[–-]\d{1,4})?\)?,?")
@@ -63,7 +67,7 @@ REFERENCE = re.compile(r"\s*(?:\[\d+\]|\d+\.\s+[^\W\d_]+ [A-ZА-Я]\.)")
 LATIN_PAIRS = (("rn", "m"), ("cl", "d"), ("vv", "w"), ("ü", "ti"), ("ii", "u"))
 CYRILLIC_PAIRS = (("ь1", "ы"), ("ьl", "ы"), ("ь!", "ы"))
 LATIN_LIKE = str.maketrans({"0": "o", "1": "l", "5": "s", "6": "b", "9": "g", "8": "b", "!": "i", "c": "e", "h": "b", "f": "t", "v": "y", "í": "i", "4": "a", "3": "e", "7": "t", "2": "z"})
-CYRILLIC_LIKE = str.maketrans({"0": "о", "г": "т", "п": "л", "н": "л", "и": "л", "й": "л", "8": "в", "6": "б", "4": "ч", "3": "з", "э": "з", "с": "е", "1": "і", "!": "і"})
+CYRILLIC_LIKE = str.maketrans({"0": "о", "г": "т", "п": "л", "н": "л", "и": "л", "й": "л", "8": "в", "6": "б", "4": "ч", "3": "з", "э": "з", "с": "е", "щ": "ш", "1": "і", "!": "і"})
 _LATIN_LETTER = re.compile(r"[a-zß-öø-ÿœ]")
 _CYRILLIC_LETTER = re.compile(r"[а-яёіїєґ]")
 
@@ -204,6 +208,10 @@ class Mender:
         self.header = {k for k, a in actions.items() if a == "header"}
         self.join = {k for k, a in actions.items() if a == "join"}
         self.bad = set(misread)
+        self.titles: dict[str, list[str]] = {}  # known titles of journals by their first word
+
+    def _titles_in(self, low: str, words: set[str]) -> list[str]:
+        return [t for w in words & self.titles.keys() for t in self.titles[w] if t in low]
 
     def _edge_lines(self, lines: list[str]) -> set[int]:
         out = set()
@@ -217,7 +225,9 @@ class Mender:
                 out.add(i)
             elif not DECIMAL.search(line) and not REFERENCE.match(line):
                 words = [w.lower() for w in CAPITALISED.findall(line)]
-                if words and 2 * sum(w in self.header for w in words) >= len(words) and (inside or len(words) > 1):
+                if inside and self.titles and len(line) < 110 and self._titles_in(line.lower(), set(TOKEN.findall(line.lower()))):
+                    out.add(i)
+                elif words and 2 * sum(w in self.header for w in words) >= len(words) and (inside or len(words) > 1):
                     out.add(i)
         return out
 
@@ -238,6 +248,12 @@ class Mender:
         lines = text.split("\n")
         if len(lines) > 1 and self._edge_lines(lines):
             return True
+        if "  " in text and RUN_IN.search(text):
+            return True
+        if self.titles and (found := self._titles_in(low, words)):
+            for line in lines:
+                if not REFERENCE.match(line) and any(t in line.lower() for t in found):
+                    return True
         if not self.header.isdisjoint(words):
             for line in lines:
                 if sum(w.lower() in self.header for w in CAPITALISED.findall(line)) >= 2 and not REFERENCE.match(line):
@@ -255,7 +271,13 @@ class Mender:
 
     def _inline(self, line: str) -> str:
         """Without headers that ran into the line: runs of header words with the numbers and signs that belong to them."""
-        if not self.header or REFERENCE.match(line):
+        if REFERENCE.match(line):
+            return line
+        if "  " in line:
+            line = RUN_IN.sub("", line)
+        for title in self._titles_in(line.lower(), set(TOKEN.findall(line.lower()))):
+            line = re.sub(BEFORE_TITLE + re.escape(title) + ISSUE, "", line, flags=re.IGNORECASE)
+        if not self.header:
             return line
         parts = re.split(r"(\s+)", line)
         words = parts[0::2]
@@ -332,15 +354,28 @@ def _entries(text: str) -> set[str]:
     return found | {f"{m.group(1)}\t{m.group(2)}\t{m.group(4)}" for m in BROKEN.finditer(low)}
 
 
-def _apply(df: DataFrame, column: str, keys: list[str], work, schema: str, shipped: int) -> DataFrame:
+def _titles(titles: DataFrame) -> DataFrame:
+    """entry, meant: known titles (one text column) by first word; those of one word or of one row are no titles."""
+    plain = F.trim(F.lower(F.col(titles.columns[0])))
+    often = titles.select(plain.alias("t")).filter("t LIKE '_% _%'").groupBy("t").count().filter("count > 1")
+    first = F.regexp_extract("t", r"^([\p{L}\p{N}]+)", 1)
+    return often.select(first.alias("entry"), "t").filter("entry != ''").groupBy("entry").agg(
+        F.concat(F.lit("\ttitles\x01"), F.array_join(F.sort_array(F.collect_set("t")), "\x01")).alias("meant"))
+
+
+def _apply(df: DataFrame, column: str, keys: list[str], work, schema: str, shipped: int, titles: DataFrame | None) -> DataFrame:
     """Run ``work(mender, batch columns)`` over all texts, the dictionaries shipped or, if large, joined."""
     narrow = spread(df.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col(column).cast("string").alias("t")))
     misread, actions = dictionaries(cut(corpus_counts(narrow, "t"), "counts"))
-    entries = cut(misread.select(F.col("word").alias("entry"), F.col("meant")).unionByName(
-        actions.select(F.col("pair").alias("entry"), F.concat(F.lit("\t"), "action").alias("meant"))), "entries")
+    every = misread.select(F.col("word").alias("entry"), F.col("meant")).unionByName(
+        actions.select(F.col("pair").alias("entry"), F.concat(F.lit("\t"), "action").alias("meant")))
+    entries = cut(every.unionByName(_titles(titles)) if titles is not None else every, "entries")
 
     def mender(pairs: list) -> Mender:
-        return Mender({a: b for a, b in pairs if b[0] != "\t"}, {a: b[1:] for a, b in pairs if b[0] == "\t"})
+        plain = {a: b[1:] for a, b in pairs if b[0] == "\t" and not b.startswith("\ttitles")}
+        made = Mender({a: b for a, b in pairs if b[0] != "\t"}, plain)
+        made.titles = {a: b.split("\x01")[1:] for a, b in pairs if b.startswith("\ttitles")}
+        return made
 
     if entries.count() <= shipped:
         shared = mender([(r[0], r[1]) for r in entries.collect()])
@@ -377,18 +412,18 @@ def _key_fields(df: DataFrame, keys: list[str]) -> str:
     return ", ".join(f"k{i} {df.schema[k].dataType.simpleString()}" for i, k in enumerate(keys))
 
 
-def damaged_texts(df: DataFrame, column: str, keys: list[str], shipped: int = SHIPPED_ENTRIES) -> DataFrame:
-    """keys of the rows whose text holds scan damage."""
+def damaged_texts(df: DataFrame, column: str, keys: list[str], shipped: int = SHIPPED_ENTRIES, titles: DataFrame | None = None) -> DataFrame:
+    """keys of the rows whose text holds scan damage; ``titles``: a column of journal titles, as running headers have them."""
 
     def work(menders: list[Mender], batch: pa.RecordBatch) -> pa.RecordBatch:
         hit = [m.damaged(t) for m, t in zip(menders, batch.column("t").to_pylist())]
         return batch.select([f"k{i}" for i in range(len(keys))]).filter(pa.array(hit, pa.bool_()))
 
-    out = _apply(df, column, keys, work, _key_fields(df, keys), shipped)
+    out = _apply(df, column, keys, work, _key_fields(df, keys), shipped, titles)
     return out.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)])
 
 
-def repaired_texts(df: DataFrame, column: str, keys: list[str], shipped: int = SHIPPED_ENTRIES) -> DataFrame:
+def repaired_texts(df: DataFrame, column: str, keys: list[str], shipped: int = SHIPPED_ENTRIES, titles: DataFrame | None = None) -> DataFrame:
     """keys, repaired: every text as continuous paragraphs, and whether it was damaged."""
 
     def work(menders: list[Mender], batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -399,5 +434,5 @@ def repaired_texts(df: DataFrame, column: str, keys: list[str], shipped: int = S
             [*[batch.column(f"k{i}") for i in range(len(keys))], pa.array(mended, pa.string()), pa.array(hit, pa.bool_())],
             [*[f"k{i}" for i in range(len(keys))], "repaired", "damaged"])
 
-    out = _apply(df, column, keys, work, _key_fields(df, keys) + ", repaired string, damaged boolean", shipped)
+    out = _apply(df, column, keys, work, _key_fields(df, keys) + ", repaired string, damaged boolean", shipped, titles)
     return out.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], "repaired", "damaged")

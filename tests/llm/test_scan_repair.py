@@ -20,23 +20,29 @@ def corpus():
         (500, 0, "The boiler holds water until pres-\nsure reaches seven bars.", "x"), (501, 0, "The b0iler ho1ds water until pressure reaches seven bars.", "x"),
         (502, 0, "The boiler holds water until\n- 353 -\npressure reaches seven bars.", "x"), (503, 0, "The boiler holds water until\nxxi\npressure reaches seven bars.", "x"),
         (504, 0, "The boiler holds water until pres- sure reaches seven bars.", "x"), (505, 0, "The boiler holds water until pres¬ \n  sure reaches seven bars.", "x"),
+        (506, 0, "The boiler holds water until 922    KOLBERG pressure reaches seven bars.", "x"),
+        (507, 0, "The boiler holds water until Труды отдела котлов 2012, 57, 863 pressure reaches seven bars.", "x"),
         (600, 0, "High- and low-pressure boilers hold water.\n\n1) charcoal;\n2) water;\n\n3. Results\n\nS1\t45.2\t7.1\nS2\t3.0\t9.9", "x"), (601, 0, "The boiler holds water until\npressure reaches seven bars.", "x"),
         (602, 0, None, "x"), (603, 0, "", "x"), (604, 0, "Zorkmid ganustol bavuxyl were new here.", "x"),
     ]
     return rows
 
 
-DAMAGED = {400 + i for i in range(6)} | {500, 501, 502, 503, 504, 505}
+DAMAGED = {400 + i for i in range(6)} | set(range(500, 508))
+
+
+def titles(spark):
+    return spark.createDataFrame([("Труды отдела котлов",), ("Труды отдела котлов",), ("Water",), (None,), ("The boiler",)], "journal string")
 
 
 @pytest.mark.parametrize("shipped", [400_000, 0])
 def test_found(spark, shipped):
     df = spark.createDataFrame(corpus(), SCHEMA)
-    assert {r["doc_id"] for r in damaged_texts(df, "text", ["doc_id", "chunk_index"], shipped).collect()} == DAMAGED
+    assert {r["doc_id"] for r in damaged_texts(df, "text", ["doc_id", "chunk_index"], shipped, titles(spark)).collect()} == DAMAGED
 
 
 def test_repaired(spark):
-    out = {r["doc_id"]: r for r in repaired_texts(spark.createDataFrame(corpus(), SCHEMA), "text", ["doc_id"]).collect()}
+    out = {r["doc_id"]: r for r in repaired_texts(spark.createDataFrame(corpus(), SCHEMA), "text", ["doc_id"], titles=titles(spark)).collect()}
     whole = "The boiler holds water until pressure reaches seven bars."
     for i in DAMAGED - {503}:
         assert out[i]["repaired"] == whole, i
