@@ -43,7 +43,7 @@ NAMES = {
 TRAIN_ROWS = 3_000
 WINDOW = 96
 HIDDEN = 16
-CONFIDENCE = 0.75
+CONFIDENCE = 0.92
 INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060-\u2064\ufeff]")
 ODD = re.compile("[\u0300-\u036f\u00ad\u200b-\u200f\u2060-\u2064\ufb00-\ufb06\ufeff\uff01-\uff5e]")
 TITLE_BREAK = re.compile(r"\s+(?:=|//?)\s+")
@@ -110,6 +110,8 @@ class Sentences:
         else:
             good &= ~shouted | (words >= 8)
         for k in np.flatnonzero(good):
+            if " et al. / " in parts[k]:  # a running header
+                continue
             self.rows.append(rows[k])
             self.pieces.append(code[starts[k] : ends[k] - 1])
 
