@@ -33,11 +33,11 @@ TOLERANCE = 1e-3
 def statistics(df: DataFrame, key: str, text: str, common: list[str]) -> DataFrame:
     """Counts and shares of every text that is neither null nor blank, by built-in expressions."""
     words = ", ".join("'" + w.replace("\\", "").replace("'", "\\'") + "'" for w in sorted(set(common))) or "''"
-    base = spread(df.select(F.col(key).alias("id"), F.col(text).alias("t"))).filter(r"t rlike '\\S'")
     # Blanks of any kind are blanks, and words set wide apart or one to a line are still running text.
     blank = r"\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{202F}\\x{205F}\\x{3000}"
     one_to_a_line = r"\\n(?=[\\p{Ll}\\p{Nd}%°(][^\\s;,|]*(?:\\n|$))"
     wide = rf"(?=[ \\t\\n{blank}])(?:[{blank}]| {{2,}}(?=\\p{{Ll}})|\\t[ \\t]*(?=\\p{{Ll}})|\\n(?=\\p{{Ll}})(?<=[^\\n]{{40}}[\\p{{L}},]\\n)|{one_to_a_line})"
+    base = spread(df.select(F.col(key).alias("id"), F.col(text).alias("t"))).filter(f"t rlike '[^\\\\s{blank}]'")
     base = base.selectExpr("id", f"regexp_replace(t, '{wide}', ' ') AS t")
     counted = base.selectExpr(
         "id", "length(t) AS n_chars",

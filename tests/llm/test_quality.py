@@ -9,7 +9,7 @@ SCHEMA = "doc_id bigint, text string, kind string"
 
 
 def test_statistics_of_a_small_text(spark):
-    df = spark.createDataFrame([(1, "The cat sat.\nOn 12 mats!\n\n- a list", "x"), (2, None, "x"), (3, " \n ", "x"), (4, "", "x")], SCHEMA)
+    df = spark.createDataFrame([(1, "The cat sat.\nOn 12 mats!\n\n- a list", "x"), (2, None, "x"), (3, " \n ", "x"), (4, "", "x"), (5, "\u00a0\u2007", "x")], SCHEMA)
     rows = statistics(df, "doc_id", "text", COMMON).collect()
     assert len(rows) == 1
     r = rows[0]
