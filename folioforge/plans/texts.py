@@ -9,10 +9,11 @@ from folioforge.functions import text as T
 from folioforge.operators import chunking as C
 from folioforge.plans.search import citation, first_author, strip
 from folioforge.session import table
+from folioforge.shared import spread
 
 
 def clean_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "chunks").select("chunk_id", T.clean_block(F.col("text")).alias("block"))
+    return spread(table(spark, d, "chunks").select("chunk_id", "text")).select("chunk_id", T.clean_block(F.col("text")).alias("block"))
 
 
 def doi_clean(spark: SparkSession, d: str) -> DataFrame:
@@ -65,7 +66,7 @@ def _sections(spark: SparkSession, d: str) -> DataFrame:
     """The last heading among the paragraphs of each chunk."""
     found = F.transform(F.split("text", "\\n"), lambda line: T.detect_section(line))
     heads = F.filter(found, lambda s: s.isNotNull())
-    return table(spark, d, "chunks").select("chunk_id", "doc_id", "chunk_index", F.try_element_at(heads, F.lit(-1)).alias("opened"))
+    return spread(table(spark, d, "chunks").select("chunk_id", "doc_id", "chunk_index", "text")).select("chunk_id", "doc_id", "chunk_index", F.try_element_at(heads, F.lit(-1)).alias("opened"))
 
 
 def sections_opened(spark: SparkSession, d: str) -> DataFrame:
