@@ -10,11 +10,15 @@ candidates, which are compared exactly.
 The cuts and the centre are fitted on a bounded sample (``SAMPLE`` rows); every
 row is indexed.  ``min_similarity`` leaves out neighbours below it.
 
+A cell that the sample shows to hold far more than its share (near-equal vectors)
+is cut further by hash strings about its own centre.  Of more than ``CROWD`` equal
+vectors the k + 1 smallest keys stand for all; the others' neighbours are the
+smallest keys of their crowd, as ties go to the smaller key.
+
 Defined results: null, zero, NaN-holding vectors and those of another length than
 ``dim`` are no members; repeated rows of a key count once; equal vectors are
-neighbours of similarity 1, ties go to the smaller key; where more vectors are
-equal than a cell holds, each still gets k of them; an empty table gives an empty
-result; columns that are not named are not read.
+neighbours of similarity 1, ties go to the smaller key; an empty table gives an
+empty result; columns that are not named are not read.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioforge.shared import cut
 from folioforge.shared import spread as dealt
 
 K = 10
@@ -37,6 +42,9 @@ CANDIDATES = 1_500
 SAMPLE = 20_000
 PROBES = 2  # further cells of each ordering that the rows of a query set are sent to
 SEED = 5
+CROWD = 1_000  # equal vectors above which a few stand for all
+CROWDS_SENT = 100_000  # crowds sent to every task; more are joined by shuffle
+CELLS_PER_TASK = 2
 
 
 def planes(dim: int, count: int, seed: int) -> np.ndarray:
@@ -145,15 +153,29 @@ class Layout:
         self.dim, self.orderings = dim, orderings
         self.centre = sample.mean(0) if len(sample) else np.zeros(dim, dtype=np.float32)
         self.directions = [planes(dim, 48, SEED + 1000 * t) for t in range(orderings)]
-        self.bounds, self.shares = [], []
+        self.bounds: list[np.ndarray] = []
+        self.finer: list[dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]] = []  # centre, directions and cuts of overfull cells
         cells = max(1, -(-rows // cell))
-        for d in self.directions:
-            c = np.sort(codes(sample - self.centre, d)) if len(sample) else np.zeros(0, np.int64)
-            cuts = np.unique(c[(np.arange(1, cells) * len(c)) // cells]) if len(c) and cells > 1 else np.zeros(0, np.int64)
+        for t, d in enumerate(self.directions):
+            c = codes(sample - self.centre, d) if len(sample) else np.zeros(0, np.int64)
+            cuts = self._cuts(c, cells)
             self.bounds.append(cuts)
-            held = np.bincount(np.searchsorted(cuts, c, side="right"), minlength=len(cuts) + 1) / max(1, len(c))
-            # A cell that holds far more than its share, of equal vectors, is dealt out further.
-            self.shares.append(np.maximum(1, (held * rows / (4 * cell)).astype(np.int64)))
+            at = np.searchsorted(cuts, c, side="right")
+            held = np.bincount(at, minlength=len(cuts) + 1)
+            self.finer.append({})
+            for full in np.flatnonzero(held * rows > 4 * cell * max(1, len(c))):
+                own = sample[at == full]
+                centre, further = own.mean(0), planes(dim, 48, SEED + 1000 * t + 500)
+                parts = min(1 << 15, int(held[full] * rows / (cell * len(c))))
+                self.finer[t][int(full)] = (centre, further, self._cuts(codes(own - centre, further), parts))
+
+    @staticmethod
+    def _cuts(c: np.ndarray, cells: int) -> np.ndarray:
+        c = np.sort(c)
+        return np.unique(c[(np.arange(1, cells) * len(c)) // cells]) if len(c) and cells > 1 else np.zeros(0, np.int64)
+
+    def cells(self) -> int:
+        return sum(len(b) + 1 + sum(len(f[2]) for f in finer.values()) for b, finer in zip(self.bounds, self.finer))
 
     def near(self, x: np.ndarray, t: int, probes: int) -> list[np.ndarray]:
         """Up to ``probes`` further cells of each row in one ordering: those reached by turning its least certain letters; -1 for none."""
@@ -182,17 +204,44 @@ class Layout:
                 seen.append(cell)
         return out
 
-    def place(self, x: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    def parts(self, x: np.ndarray, t: int, cell: np.ndarray) -> np.ndarray:
+        """The part of its cell that each row is in: 0 but in overfull cells."""
+        out = np.zeros(len(x), dtype=np.int64)
+        for full, (centre, further, cuts) in self.finer[t].items():
+            here = np.flatnonzero(cell == full)
+            if len(here):
+                out[here] = np.searchsorted(cuts, codes(x[here] - centre, further), side="right")
+        return out
+
+    def place(self, x: np.ndarray) -> np.ndarray:
         """Cell of each row in each ordering: one number, rows x orderings."""
         out = np.empty((len(x), self.orderings), dtype=np.int64)
         shifted = x - self.centre
         for t in range(self.orderings):
             cell = np.searchsorted(self.bounds[t], codes(shifted, self.directions[t]), side="right")
-            deal = (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-            out[:, t] = (t << 44) + (cell.astype(np.int64) << 16) + (deal.astype(np.int64) % self.shares[t][cell])
+            out[:, t] = (t << 44) + (cell.astype(np.int64) << 16) + self.parts(x, t, cell)
         return out
 
 
+def _crowds(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame] | None:
+    """Rows that stand for themselves, and (id, firsts) of the others; None where no vector is held by many."""
+    hashed = rows.withColumn("h", F.struct(F.xxhash64("v").alias("a"), F.hash("v").alias("b")))
+    often = hashed.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select("h")
+    often = cut(often, "crowds")
+    many = often.count()
+    if not many:
+        return None
+    send = F.broadcast if many <= CROWDS_SENT else lambda d: d
+    members = hashed.select("h", "id").join(send(often), "h").distinct()
+    order = Window.partitionBy("h").orderBy("id")
+    first = members.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 1)
+    first = cut(first.groupBy("h").agg(F.sort_array(F.collect_list("id")).alias("firsts")), "crowd-firsts")
+    placed = hashed.join(send(first), "h", "left")
+    follows = F.col("firsts").isNotNull() & (F.col("id") > F.element_at("firsts", -1))
+    alone = placed.filter(~F.coalesce(follows, F.lit(False))).select(*rows.columns)
+    return alone, placed.filter(follows & F.col("ask")).select("id", "firsts").distinct()
+
+
 def most_similar(
     df: DataFrame, key: str, vector: str, k: int = K, min_similarity: float | None = None, dim: int | None = None, orderings: int = ORDERINGS, trees: int = TREES, candidates: int = CANDIDATES, cell: int = CELL,
     asking: Column | None = None, probes: int = 0,
@@ -225,15 +274,13 @@ def most_similar(
                 return pa.RecordBatch.from_arrays([pa.array(cells), pa.array(ids[which]), pa.array(role.astype(np.int8)), raw.cast(pa.binary())], ["cell", "id", "role", "x"])
 
             every = np.arange(len(ids))
-            for t, cells in enumerate(layout.place(x, ids.astype(np.uint64)).T):
+            for t, cells in enumerate(layout.place(x).T):
                 yield rows(every, cells, asks)
                 if probes and asks.any():
                     who = np.flatnonzero(asks)
                     for c in layout.near(x[who], t, probes):
-                        go = c >= 0
-                        for part in range(int(layout.shares[t][c[go]].max()) if go.any() else 0):
-                            to = go & (part < layout.shares[t][np.maximum(c, 0)])
-                            yield rows(who[to], (t << 44) + (c[to].astype(np.int64) << 16) + part, np.full(int(to.sum()), 2))
+                        to = c >= 0
+                        yield rows(who[to], (t << 44) + (c[to].astype(np.int64) << 16) + layout.parts(x[who[to]], t, c[to]), np.full(int(to.sum()), 2))
 
     def grow(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -247,9 +294,14 @@ def most_similar(
         a, b, s = forest_pairs(ids, x, layout.centre, k, min_similarity, trees, candidates, seed, role > 0, role < 2)
         return pa.table([pa.array(ids[a]), pa.array(ids[b]), pa.array(s.astype(np.float32))], names=["id", "neighbour", "similarity"])
 
-    cells = narrow.mapInArrow(spread, "cell bigint, id bigint, role tinyint, x binary")
+    valid = F.expr(f"size(v) = {dim} AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < float('Infinity')) AND exists(v, x -> x != 0)")
+    crowds = _crowds(narrow.filter(valid), k)
+    members = narrow if crowds is None else crowds[0]
+    cells = members.mapInArrow(spread, "cell bigint, id bigint, role tinyint, x binary").repartition(max(1, -(-layout.cells() // CELLS_PER_TASK)), "cell")
     found = cells.groupBy("cell").applyInArrow(grow, "id bigint, neighbour bigint, similarity float")
     best = found.groupBy("id", "neighbour").agg(F.max("similarity").alias("similarity"))
+    if crowds is not None:
+        best = best.unionByName(crowds[1].select("id", F.explode(F.slice("firsts", 1, k)).alias("neighbour"), F.lit(1.0).cast("float").alias("similarity")))
     order = Window.partitionBy("id").orderBy(F.round("similarity", 5).desc(), "neighbour")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(F.col("id").alias(key), "neighbour", "similarity", "rank")
 

@@ -44,3 +44,34 @@ def test_k_ties_and_equal_vectors(spark):
 def test_empty(spark):
     assert most_similar(frame(spark, np.zeros((0, 64))), "chunk_id", "embedding").count() == 0
     assert most_similar(frame(spark, np.zeros((3, 64))), "chunk_id", "embedding").count() == 0
+
+
+def test_a_third_of_all_rows_near_equal(spark):
+    """Near-equal rows are cut by their own differences: neighbours among them are found."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=32)
+    hot = base + 0.02 * rng.normal(size=(3000, 32))
+    x = np.concatenate((hot, rng.normal(size=(3000, 32))))
+    x[1:3000:2] = x[0:3000:2] + 0.001 * rng.normal(size=(1500, 32))  # each has a twin
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, v array<float>")
+    found = most_similar(df, "id", "v", k=3, cell=300)
+    near = {(r["id"], r["neighbour"]) for r in found.collect()}
+    twins = [(i, i ^ 1) in near for i in range(3000)]
+    assert np.mean(twins) > 0.9
+
+
+def test_a_crowd_of_equal_rows(spark):
+    """Each of 1,500 equal rows gets the smallest keys; so does a row close to them; repeated rows and another crowd do not matter."""
+    rng = np.random.default_rng(7)
+    one, two = rng.normal(size=16), rng.normal(size=16)
+    rows = [(i, one.tolist()) for i in range(100, 1600)] + [(150, one.tolist())] + [(i, two.tolist()) for i in range(2000, 3200)]
+    rows += [(9000, (one + 0.01 * two).tolist()), (9001, None), (9002, [0.0] * 16)] + [(9100 + i, [0.0] * 16) for i in range(1100)]
+    df = spark.createDataFrame(rows, "id bigint, v array<float>")
+    got = {}
+    for r in most_similar(df, "id", "v", k=3, dim=16).collect():
+        got.setdefault(r["id"], []).append((r["rank"], r["neighbour"]))
+    assert len(got) == 1500 + 1200 + 1
+    for i in [*range(100, 1600), *range(2000, 3200)]:
+        low = 100 if i < 2000 else 2000
+        assert [n for _, n in sorted(got[i])] == [j for j in range(low, low + 4) if j != i][:3]
+    assert [n for _, n in sorted(got[9000])] == [100, 101, 102]
