@@ -2,11 +2,12 @@
 
 Names are folded (look-alikes, accents, romanised Cyrillic) and parsed into
 family name, given name and initials; where the order of two words is open, both
-permutations stand.  Distinct family names are sharded into tries by their first
-and by their last letters, and a Levenshtein automaton walks each trie to
-enumerate the neighbours within the bounded distance.  Spellings gather round
-the most frequent neighbour; within such a family, given names, nicknames and
-initials decide who is who.
+permutations stand.  Distinct family names are sharded into tries by halves that no
+single error touches both of (see ``shard_keys``), and a Levenshtein automaton walks
+each trie to enumerate the neighbours within the bounded distance.  Spellings
+gather round the most frequent neighbour; within such a family, a trie of given
+names, nicknames and initials decide who is who.  Organisations of the same
+initials are compared word by word where a trie of their words lets them meet.
 
 Defined results: null lists name nobody, nor do empty parts, ``et al.``,
 ``unknown`` and ``n/a``; a name listed often counts once per list; initials that
@@ -30,7 +31,7 @@ from folioforge.llm import lookalikes as look
 from folioforge.shared import cut
 
 DISTANCE = 1
-SHORTEST = 5  # letters of a family name that may hold a typing error
+SHORTEST = 5  # letters of the longer of two family names that differ by a typing error
 FAMILIES_PER_BUCKET = 2_000
 NOBODY = ("et al.", "et al", "unknown", "n/a", "na", "-")
 
@@ -194,28 +195,70 @@ def trie_join(words: list[str], distance: int = DISTANCE, backwards: bool = Fals
     return [(w, other) for w in words for other in neighbours(trie, w, distance) if other != w]
 
 
-def same_given(a: tuple[str, ...], b: tuple[str, ...]) -> bool:
-    return bool(set(a) & set(b)) or any(len(x) > 3 and len(y) > 3 and near(x, y) for x in a for y in b)
+def shard_keys(word: str, distance: int = DISTANCE) -> list[str]:
+    """Shards of a word: any two words within the distance share one.
+
+    For one error, the longer word's letters but one are parted into a head and a
+    tail; an error, or an exchange of two letters, touches one of them only.  The
+    word may be the longer one or miss a letter of it, so both lengths count.  For
+    more errors, what is left after leaving out up to so many letters.
+    """
+    if distance == 1:
+        keys = []
+        for longest in (len(word), len(word) + 1):
+            head = (longest - 1) // 2
+            tail = longest - 1 - head
+            keys += [f"f{longest}:{word[:head]}", f"b{longest}:{word[len(word) - tail:]}"]
+        return keys
+    left = {word}
+    for _ in range(distance):
+        left |= {w[:i] + w[i + 1 :] for w in left for i in range(len(w))}
+    return [f"d:{w}" for w in left]
+
+
+class _Forms:
+    """Groups of given names, found by the forms in them: equal, or within one error by the trie."""
+
+    def __init__(self) -> None:
+        self.trie: dict = {}
+        self.groups: dict[str, list[int]] = defaultdict(list)
+
+    def add(self, form: str, group: int) -> None:
+        if group not in self.groups[form]:
+            self.groups[form].append(group)
+            node = self.trie
+            for c in form:
+                node = node.setdefault(c, {})
+            node[END] = form
+
+    def fitting(self, forms: tuple[str, ...]) -> list[int]:
+        found: set[int] = set()
+        for f in forms:
+            found.update(self.groups.get(f, ()))
+            if len(f) > 3:
+                found.update(g for other in neighbours(self.trie, f, 1) if len(other) > 3 for g in self.groups[other])
+        return sorted(found)
 
 
 def people(records: list[tuple[str, str, str, int]]) -> list[set[str]]:
     """Names of each person of one family, from (name, given, initials, lists) records."""
     groups: list[tuple[set[str], set[str], set[str]]] = []  # formal given names, names, first letters
+    known = _Forms()
     for name, given, _, n in sorted((r for r in records if r[1]), key=lambda r: (-r[3], r[0])):
         forms = given_forms(given)
         first = {given[0]} | {f[0] for f in FAMILIAR.get(given, given).split()}
-        fit = [g for g in groups if same_given(forms, tuple(g[0]))]
+        fit = known.fitting(forms)
         if len(forms) > 1 and len(fit) != 1:  # a familiar form of several of them
-            exact = [g for g in fit if name in g[1]]
-            fit = exact[:1]
-        if fit:
-            g = fit[0]
-            if len(forms) == 1 and n:
-                g[0].update(forms)
-            g[1].add(name)
-            g[2].update(first)
-        else:
-            groups.append((set(forms), {name}, first))
+            fit = [g for g in fit if name in groups[g][1]][:1]
+        at = fit[0] if fit else len(groups)
+        if not fit:
+            groups.append((set(), set(), set()))
+        if not fit or len(forms) == 1 and n:
+            groups[at][0].update(forms)
+            for f in forms:
+                known.add(f, at)
+        groups[at][1].add(name)
+        groups[at][2].update(first)
     loose: dict[str, list[tuple[str, str]]] = defaultdict(list)
     for name, given, initials, _ in records:
         if not given and initials:
@@ -252,6 +295,30 @@ def same_organisation(a: list[str], b: list[str]) -> bool:
     return True
 
 
+def organisations_of(spelled: dict[tuple, set[str]]) -> list[set[str]]:
+    """Names of each organisation, from the words of each spelling.
+
+    Of three words or more, all but two are equal or shortened, so two spellings of
+    one organisation have a word with the same first three letters (or a shorter
+    one) in common; only those are compared.
+    """
+    sets: list[set[str]] = []
+    kept: list[list[str]] = []
+    by_word: dict[str, list[int]] = defaultdict(list)
+    for words, names in sorted(spelled.items()):
+        beginnings = {w[:3] for w in words}
+        beside = sorted({i for b in beginnings for i in by_word[b]})
+        at = next((i for i in beside if same_organisation(list(words), kept[i])), None)
+        if at is not None:
+            sets[at] |= names
+            continue
+        for b in beginnings:
+            by_word[b].append(len(sets))
+        sets.append(set(names))
+        kept.append(list(words))
+    return sets
+
+
 def listed_names(df: DataFrame, authors: str) -> DataFrame:
     """name, n: the different names of the lists and in how many lists each stands."""
     edge = r"(?U)^\s+|\s+$"
@@ -314,14 +381,21 @@ def variant_pairs(df: DataFrame, authors: str, distance: int = DISTANCE) -> Data
         for shard, own in part.groupby("shard"):
             if len(own) > 1:
                 of = dict(zip(own["word"], own["family"]))
-                out += [(of[a], of[b]) for a, b in trie_join(sorted(of), distance, shard[0] in "bB")]
+                pairs = trie_join(sorted(of), distance, shard[1] == "b")
+                out += [(of[a], of[b]) for a, b in pairs if max(len(a), len(b)) >= SHORTEST and of[a] != of[b]]
         return pd.DataFrame(out, columns=["a", "b"])
 
-    ends = "array(concat('{0}', left(word, 3)), concat('{1}', right(word, 3)))"
-    raw = families.select(F.col("family").alias("word"), "family")
-    forms = leading.select(F.col("way").alias("word"), F.col("lead").alias("family"))
-    shards = raw.select(F.explode(F.expr(ends.format("f", "b"))).alias("shard"), "word", "family").unionByName(
-        forms.select(F.explode(F.expr(ends.format("F", "B"))).alias("shard"), "word", "family")).filter(F.length("word") >= SHORTEST)
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kind, words, of = (batch.column(c).to_pylist() for c in ("kind", "word", "family"))
+            rows = [(k + key, w, f) for k, w, f in zip(kind, words, of) if len(w) >= SHORTEST - distance for key in shard_keys(w, distance)]
+            columns = list(zip(*rows)) if rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["shard", "word", "family"])
+
+    # Families as written, and their romanised forms, are shards of their own.
+    words = families.select(F.lit("w").alias("kind"), F.col("family").alias("word"), "family").unionByName(
+        leading.select(F.lit("r").alias("kind"), F.col("way").alias("word"), F.col("lead").alias("family")))
+    shards = words.mapInArrow(keyed, "shard string, word string, family string")
     to_lead = families.join(leading, "way").filter("family != lead").select(F.col("family").alias("a"), F.col("lead").alias("b"))
     near_families = dealt(shards, "shard").groupBy("bucket").applyInPandas(join_shard, "a string, b string").unionByName(to_lead).distinct()
     weight = families.select(F.col("family").alias("b"), F.col("w").alias("wb"))
@@ -329,9 +403,13 @@ def variant_pairs(df: DataFrame, authors: str, distance: int = DISTANCE) -> Data
         near_families.join(weight, "b").join(families.select(F.col("family").alias("a"), F.col("w").alias("wa")), "a")
         .filter("wb > wa OR (wb = wa AND b > a)").groupBy("a").agg(F.max(F.struct("wb", "b")).alias("m")).select("a", F.col("m.b").alias("h")))
     hub = cut(up, "up")
-    for _ in range(2):
+    while True:  # every jump halves what is left of a chain; a hub is always more frequent, so there are no rings
         further = hub.select(F.col("a").alias("h"), F.col("h").alias("hh"))
-        hub = cut(hub.join(further, "h", "left").select("a", F.coalesce("hh", "h").alias("h")), "hub")
+        hub = cut(hub.join(further, "h", "left").select("a", F.coalesce("hh", "h").alias("h"), F.col("hh").isNotNull().alias("moved")), "hub")
+        moved = hub.filter("moved").limit(1).count()
+        hub = hub.drop("moved")
+        if not moved:
+            break
     placed = persons.join(hub.withColumnRenamed("a", "family"), "family", "left").withColumn("h", F.coalesce("h", "family"))
 
     def pairs_of(sets: list[set[str]]) -> list[tuple[str, str]]:
@@ -352,18 +430,14 @@ def variant_pairs(df: DataFrame, authors: str, distance: int = DISTANCE) -> Data
         return pd.DataFrame(out, columns=["name_a", "name_b"])
 
     def link_organisations(part: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(zip(part["name"], part["words"]))
-        sets: list[set[str]] = []
-        kept: list[list[str]] = []
-        for name, words in rows:
-            at = next((i for i, w in enumerate(kept) if same_organisation(list(words), w)), None)
-            if at is None:
-                sets.append({name})
-                kept.append(list(words))
-            else:
-                sets[at].add(name)
-        return pd.DataFrame(pairs_of(sets), columns=["name_a", "name_b"])
+        out: list[tuple[str, str]] = []
+        for _, own in part.groupby("family"):
+            spelled: dict[tuple, set[str]] = defaultdict(set)
+            for name, words in zip(own["name"], own["words"]):
+                spelled[tuple(words)].add(name)
+            out += pairs_of(organisations_of(spelled))
+        return pd.DataFrame(out, columns=["name_a", "name_b"])
 
     found = dealt(placed, "h").groupBy("bucket").applyInPandas(link_people, "name_a string, name_b string")
-    organisations = records.filter("kind = 'o'").groupBy("family").applyInPandas(link_organisations, "name_a string, name_b string")
+    organisations = dealt(records.filter("kind = 'o'"), "family").groupBy("bucket").applyInPandas(link_organisations, "name_a string, name_b string")
     return found.unionByName(organisations).distinct()

@@ -44,7 +44,7 @@ PROBES = 2  # further cells of each ordering that the rows of a query set are se
 SEED = 5
 CROWD = 1_000  # equal vectors above which a few stand for all
 CROWDS_SENT = 100_000  # crowds sent to every task; more are joined by shuffle
-CELLS_PER_TASK = 2
+CELLS_PER_TASK = 1
 
 
 def planes(dim: int, count: int, seed: int) -> np.ndarray:

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from folioforge.llm.names import fold, near, neighbours, organisation_words, parse, people, same_organisation, trie_join, trie_of, variant_pairs
+from folioforge.llm.names import fold, near, neighbours, organisation_words, organisations_of, parse, people, same_organisation, shard_keys, trie_join, trie_of, variant_pairs
 
 
 def distance(a, b):
@@ -64,3 +64,44 @@ def test_rows(spark):
     assert set(itertools.combinations(["Jirhocian, Boris", "Jirhocin, B.", "Zhirkhotsyan, Boris"], 2)) <= got
     assert all(a < b for a, b in got) and not any("unknown" in p or "et al." in p for p in got)
     assert variant_pairs(df.limit(0), "authors").count() == 0
+
+
+def test_any_two_near_words_share_a_shard():
+    rng = random.Random(2)
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 8))) for _ in range(260)})
+    for k in (1, 2):
+        keys = {w: set(shard_keys(w, k)) for w in words}
+        for a, b in itertools.combinations(words, 2):
+            if distance(a, b) <= k:
+                assert keys[a] & keys[b], (a, b, k)
+
+
+def test_errors_anywhere_in_short_and_chained_families(spark):
+    lists = ["Kotov, Ivan"] * 3 + ["Kodov, Ivan", "Ktov, Ivan", "Petrovsky, Olga", "Petrovsky, Olga", "Petrovzky, Olga", "abdcef, Ivan", "abcdef, Ivan", "abcdef, Ivan"]
+    # Each spelling of a chain is one error from the next and more frequent than the one before.
+    chain = ["Aaaaaaa", "Baaaaaa", "Bbaaaaa", "Bbbaaaa", "Bbbbaaa", "Bbbbbaa", "Bbbbbba"]
+    lists += [f"{w}, Zoya" for i, w in enumerate(chain) for _ in range(i + 1)]
+    got = {tuple(r) for r in variant_pairs(spark.createDataFrame([(a,) for a in lists], "authors string"), "authors").collect()}
+    for a, b in (("Kodov, Ivan", "Kotov, Ivan"), ("Kotov, Ivan", "Ktov, Ivan"), ("Petrovsky, Olga", "Petrovzky, Olga"), ("abcdef, Ivan", "abdcef, Ivan")):
+        assert (a, b) in got
+    assert ("Aaaaaaa, Zoya", "Bbbbbba, Zoya") in got
+
+
+def test_organisations_against_all_comparisons():
+    rng = random.Random(3)
+    stock = ["institute", "fuels", "catalysis", "academy", "biomass", "regional", "centre", "kiln", "oils"]
+    spelled = {}
+    for i in range(120):
+        words = sorted(rng.sample(stock, rng.randint(3, 5)))
+        k = rng.randrange(len(words))
+        words[k] = rng.choice([words[k], words[k][:4], words[k][:2] + words[k][3:]])
+        spelled.setdefault(tuple(sorted(words)), set()).add(f"n{i}")
+    sets, kept = [], []
+    for words, names in sorted(spelled.items()):
+        at = next((i for i, w in enumerate(kept) if same_organisation(list(words), w)), None)
+        if at is None:
+            sets.append(set(names))
+            kept.append(list(words))
+        else:
+            sets[at] |= names
+    assert organisations_of(spelled) == sets
