@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioforge.llm import languages, leakage, lookalikes, names, packing, quality, records, scan_repair, similar, splitting
 from folioforge.session import table
+from folioforge.shared import new_path
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -68,6 +69,15 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_items(table(spark, d, "chunks"), "chunk_id", "text")
 
 
+def p5_file_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The texts of all chunks as files on shared storage, in pieces cut by byte range: file, piece_no, begin, end, section, size."""
+    folder = new_path(spark, "p5-files")
+    table(spark, d, "chunks").filter("text IS NOT NULL").select(F.concat("text", F.lit("\n")).alias("value")).write.text(folder)
+    files = spark.read.format("binaryFile").load(folder).select("path").orderBy("path").toLocalIterator()
+    pieces = splitting.split_files(spark, [r["path"] for r in files])
+    return pieces.select(F.regexp_extract("path", "part-([0-9]+)", 1).cast("int").alias("file"), "piece_no", "begin", "end", "section", F.length("piece").alias("size"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Different spellings of one person or organisation."""
     return names.variant_pairs(table(spark, d, "documents"), "authors")
@@ -119,7 +129,7 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_neighbours, p2_found, p2_text, p3_found, p3_text, p4_found, p4_records, p5_found, p5_pieces, p6_found, p7_found, p7_languages, p8_containers, p9_found, p9_spans, p10_found, p10_kinds, p10_statistics)}
+    p1_found, p1_neighbours, p2_found, p2_text, p3_found, p3_text, p4_found, p4_records, p5_found, p5_pieces, p5_file_pieces, p6_found, p7_found, p7_languages, p8_containers, p9_found, p9_spans, p10_found, p10_kinds, p10_statistics)}
 
 _p3_chunks = lookalikes.consistent_sql("chunks", "doc_id, chunk_index", "text", False)
 _p3_authors = lookalikes.consistent_sql("(SELECT doc_id, CAST(-1 AS INTEGER) AS chunk_index, authors FROM documents)", "doc_id, chunk_index", "authors", True)

@@ -11,21 +11,22 @@ equal to it (an empty one too); pieces are in order, cover the text, are never
 longer than ``limit`` characters, and each but the first repeats at least
 ``overlap`` characters of its predecessor's end where a word boundary allows it,
 never fewer; pages out of order are put in order, missing ones stay missing;
-repeated ids are told apart by nothing, so ids must be unique; columns that are
-not named are not read.
+a section opened in one range holds for the ranges after it; repeated ids are told
+apart by nothing, so ids must be unique; columns that are not named are not read.
 """
 
 from __future__ import annotations
 
-import os
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folioforge.operators.chunking import forward_fill
 from folioforge.shared import cut as cut_lineage
 
 LIMIT = 4000
@@ -40,6 +41,7 @@ LINE = re.compile(r"\n\s*")
 CLAUSE = re.compile(r"[;:,|]\s+")
 WORD = re.compile(r"\s+")
 HEADING = re.compile(r"(?:^|\n)[^\S\n]*((?:\d{1,2}(?:\.\d{1,2})*[.)]?[^\S\n]+)?[^\W\d_][^\n.!?;:,|\t]{2,60})[^\S\n]*\n[^\S\n]*\n")
+OPENED = -1  # number of the row that tells a range's last heading
 LEVELS = (PARAGRAPH, SENTENCE, LINE, CLAUSE, WORD)
 
 
@@ -113,6 +115,14 @@ def _stretch_pieces(left: str, mid: str, right: str, first: bool, limit: int, ov
     return cut_stretch(window[:end], begin, end, limit, overlap), window
 
 
+def headings_of(window: str) -> list[tuple[int, str]]:
+    return [(m.start(1), m.group(1).strip()) for m in HEADING.finditer(window)]
+
+
+def _before(heads: list[tuple[int, str]], at: int) -> str | None:
+    return next((h for begin, h in reversed(heads) if begin <= at), None)
+
+
 def _cut_ranges(limit: int, overlap: int, with_text: bool):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -120,17 +130,19 @@ def _cut_ranges(limit: int, overlap: int, with_text: bool):
             for key, no, base, left, mid, right in zip(part["id"], part["range_no"], part["base"], part["left"], part["mid"], part["right"]):
                 pieces, window = _stretch_pieces(left, mid, right, no == 0, limit, overlap)
                 shift = base - len(left)
-                heads = [(m.start(1), m.group(1).strip()) for m in HEADING.finditer(window)]
+                heads = headings_of(window) if with_text else []
                 for k, (a, b) in enumerate(pieces):
-                    head = next((h for at, h in reversed(heads) if at <= a), None)
-                    rows.append((key, no, k, a + shift, b + shift, head, window[a:b] if with_text else None))
+                    rows.append((key, no, k, a + shift, b + shift, _before(heads, a), window[a:b] if with_text else None))
+                if head := _before(heads, len(left) + len(mid) - 1):
+                    rows.append((key, no, OPENED, 0, 0, head, None))
             yield pd.DataFrame(rows, columns=["id", "range_no", "k", "begin", "end", "heading", "piece"])
 
     return run
 
 
-def _numbered(cuts: DataFrame) -> DataFrame:
-    """Piece numbers by prefix sums over the ranges of each item, in two levels."""
+def _numbered(table: DataFrame) -> DataFrame:
+    """Piece numbers by prefix sums over the ranges of each item, in two levels, and the headings of earlier ranges."""
+    cuts = table.filter(F.col("k") != OPENED)
     counts = cuts.groupBy("id", "range_no").agg(F.count("*").alias("n")).withColumn("g", F.expr("range_no div 1024"))
     inner = Window.partitionBy("id", "g").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
     outer = Window.partitionBy("id").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
@@ -140,11 +152,21 @@ def _numbered(cuts: DataFrame) -> DataFrame:
         .join(groups.select("id", "g", "before"), ["id", "g"])
         .select("id", "range_no", (F.col("within") + F.col("before")).alias("offset"))
     )
-    return cuts.join(before, ["id", "range_no"]).withColumn("piece_no", (F.col("offset") + F.col("k")).cast("int")).drop("offset")
+    opened = table.filter(F.col("k") == OPENED).select("id", "range_no", F.col("heading").alias("opened"))
+    last = before.select("id", "range_no").join(opened, ["id", "range_no"], "full_outer")
+    carried = forward_fill(last, "id", "range_no", "opened", "carried").select("id", (F.col("range_no") + 1).alias("range_no"), "carried")
+    # A range that no piece begins in passes on what it was given.
+    carried = forward_fill(before.select("id", "range_no").join(carried, ["id", "range_no"], "full_outer"), "id", "range_no", "carried", "earlier").select("id", "range_no", "earlier")
+    return (
+        cuts.join(before, ["id", "range_no"]).join(carried, ["id", "range_no"], "left")
+        .withColumn("piece_no", (F.col("offset") + F.col("k")).cast("int")).withColumn("heading", F.coalesce("heading", "earlier")).drop("offset", "earlier"))
 
 
 def boundary_cuts(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP, range_chars: int = RANGE, with_text: bool = True) -> DataFrame:
-    """The pieces of every text longer than ``limit``: id, range_no, k, begin, end, heading, piece."""
+    """The pieces of every text longer than ``limit``: id, range_no, k, begin, end, heading, piece.
+
+    A row with k = ``OPENED`` tells the last heading of a range that has one.
+    """
     if not 0 <= overlap < limit * 3 // 8:
         raise ValueError("overlap must be below three eighths of the limit")
     if range_chars < 2 * limit:
@@ -192,12 +214,19 @@ def oversized(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: i
 
 
 def split_files(spark: SparkSession, paths: list[str], limit: int = LIMIT, overlap: int = OVERLAP, range_bytes: int = 1 << 22) -> DataFrame:
-    """Pieces of UTF-8 text files on shared storage, read by byte range: path, piece_no, begin, end, piece.
+    """Pieces of UTF-8 text files on shared storage, read by byte range: path, piece_no, begin, end, piece, section.
 
-    ``begin`` and ``end`` are byte offsets.  A worker opens the file, reads its
-    range with halos and never the whole file.
+    ``paths`` are plain paths or URIs of any file system that Arrow opens (file,
+    hdfs, s3, gs).  ``begin`` and ``end`` are byte offsets.  A worker opens the
+    file, reads its range with halos and never the whole file.
     """
-    rows = [(p, os.path.getsize(p)) for p in paths]
+    def opened(path: str):
+        return arrow_fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (arrow_fs.LocalFileSystem(), path)
+
+    rows = []
+    for p in paths:
+        system, plain = opened(p)
+        rows.append((p, system.get_file_info(plain).size))
     halo, ahead = 4 * (overlap + SLACK + LOOK), 4 * limit
     ranges = (
         spark.createDataFrame(rows, "path string, size bigint").filter("size > 0")
@@ -216,7 +245,8 @@ def split_files(spark: SparkSession, paths: list[str], limit: int = LIMIT, overl
             out = []
             for path, size, no in zip(part["path"], part["size"], part["range_no"]):
                 low, high = no * range_bytes, min(size, (no + 1) * range_bytes)
-                with open(path, "rb") as f:
+                system, plain = opened(path)
+                with system.open_input_file(plain) as f:
                     f.seek(max(0, low - halo))
                     data = f.read(high - max(0, low - halo) + ahead)
                 cut0, cut1 = low - max(0, low - halo), high - max(0, low - halo)
@@ -234,8 +264,11 @@ def split_files(spark: SparkSession, paths: list[str], limit: int = LIMIT, overl
                 for m in marks:
                     total += sizes[m]
                     at[m] = total
-                out += [(path, no, k, at[a] + shift, at[b] + shift, None, window[a:b]) for k, (a, b) in enumerate(pieces)]
+                heads = headings_of(window)
+                out += [(path, no, k, at[a] + shift, at[b] + shift, _before(heads, a), window[a:b]) for k, (a, b) in enumerate(pieces)]
+                if head := _before(heads, len(window) - len(right[:limit]) - 1):
+                    out.append((path, no, OPENED, 0, 0, head, None))
             yield pd.DataFrame(out, columns=["id", "range_no", "k", "begin", "end", "heading", "piece"])
 
     cuts = cut_lineage(ranges.mapInPandas(run, "id string, range_no int, k int, begin bigint, end bigint, heading string, piece string"), "file-cuts")
-    return _numbered(cuts).select(F.col("id").alias("path"), "piece_no", "begin", "end", "piece")
+    return _numbered(cuts).select(F.col("id").alias("path"), "piece_no", "begin", "end", "piece", F.col("heading").alias("section"))

@@ -75,3 +75,22 @@ def test_files_by_byte_ranges(spark, tmp_path):
         assert s["begin"] <= r["end"] and s["end"] > r["end"]
     for r in rows:
         assert data[r["begin"] : r["end"]].decode() == r["piece"] and len(r["piece"]) <= 700
+
+
+def test_sections_hold_over_ranges(spark, tmp_path):
+    """The section of a piece is the last heading before it, however many ranges lie between."""
+    body = "Some sentence without any heading goes on here. " * 160
+    text = "Methods\n\n" + body + "\n\nResults\n\n" + body * 3 + "\n\nOutlook\n\n" + body
+    rows = [(1, text, 1, 9, "Intro", None), (2, body * 2, 1, 2, "Own", None)]
+    out = split_items(spark.createDataFrame(rows, SCHEMA), "chunk_id", "text", limit=1000, overlap=100, range_chars=2500).collect()
+    opened = {h: text.index(h) for h in ("Methods", "Results", "Outlook")}
+    for r in out:
+        if r["chunk_id"] == 2:
+            assert r["section"] == "Own"
+        else:
+            assert r["section"] == max((h for h in opened if opened[h] <= r["begin"]), key=opened.get)
+    path = tmp_path / "giant.txt"
+    path.write_text(text)
+    for r in split_files(spark, [str(path)], limit=1000, overlap=100, range_bytes=5000).collect():
+        assert r["section"] == max((h for h in opened if opened[h] <= r["begin"]), key=opened.get)
+    assert split_files(spark, [f"file://{path}"], limit=1000, overlap=100, range_bytes=5000).count() > 40
