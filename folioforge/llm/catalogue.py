@@ -89,10 +89,15 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_languages(spark: SparkSession, d: str) -> DataFrame:
-    """Every language of every document, with sentences and confidence."""
+    """The language of every document, with a confidence."""
     return languages.document_languages(table(spark, d, "documents"), table(spark, d, "chunks"), table(spark, d, "common_words"))
 
 
+def p7_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Every stretch of one language in every text, chunk and title."""
+    return languages.document_segments(table(spark, d, "documents"), table(spark, d, "chunks"), table(spark, d, "common_words"))
+
+
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     """Every document's text, measured in tokens, in its container."""
     sizes = packing.token_sizes(table(spark, d, "documents"), "doc_id", "text")
@@ -129,7 +134,7 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_neighbours, p2_found, p2_text, p3_found, p3_text, p4_found, p4_records, p5_found, p5_pieces, p5_file_pieces, p6_found, p7_found, p7_languages, p8_containers, p9_found, p9_spans, p10_found, p10_kinds, p10_statistics)}
+    p1_found, p1_neighbours, p2_found, p2_text, p3_found, p3_text, p4_found, p4_records, p5_found, p5_pieces, p5_file_pieces, p6_found, p7_found, p7_languages, p7_segments, p8_containers, p9_found, p9_spans, p10_found, p10_kinds, p10_statistics)}
 
 _p3_chunks = lookalikes.consistent_sql("chunks", "doc_id, chunk_index", "text", False)
 _p3_authors = lookalikes.consistent_sql("(SELECT doc_id, CAST(-1 AS INTEGER) AS chunk_index, authors FROM documents)", "doc_id, chunk_index", "authors", True)

@@ -8,6 +8,8 @@ backpropagation through time with Adam.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 # The letters of the code page; everything else is a blank, a digit or a sign.
@@ -175,11 +177,10 @@ class BiGRU:
             state += n
             out[i] = state
 
-    def label(self, pieces: list[np.ndarray], batch: int = 512) -> np.ndarray:
-        """Mean posterior of each label over the positions of every piece of bytes."""
+    def batches(self, pieces: list[np.ndarray], batch: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pieces of like length, and the posterior of every label at each of their steps: (classes, steps, pieces), 0 beyond a piece's end."""
         if not hasattr(self, "gates"):
             self.prepare()
-        result = np.zeros((len(pieces), self.classes), dtype=np.float32)
         sizes = np.array([(len(p) + 1) // 2 for p in pieces])
         order = np.argsort(sizes, kind="stable")
         room = np.empty(0, dtype=np.float32)
@@ -208,5 +209,12 @@ class BiGRU:
             logits -= logits.max(0)
             np.exp(logits, out=logits)
             logits *= (np.arange(t)[:, None] < sizes[part][None, :]).reshape(t * b) / logits.sum(0)
-            result[part] = (logits.reshape(self.classes, t, b).sum(1) / np.maximum(sizes[part], 1)).T
+            yield part, logits.reshape(self.classes, t, b)
+
+    def label(self, pieces: list[np.ndarray], batch: int = 512) -> np.ndarray:
+        """Mean posterior of each label over the positions of every piece of bytes."""
+        result = np.zeros((len(pieces), self.classes), dtype=np.float32)
+        for part, posterior in self.batches(pieces, batch):
+            sizes = np.array([(len(pieces[k]) + 1) // 2 for k in part])
+            result[part] = (posterior.sum(1) / np.maximum(sizes, 1)).T
         return result

@@ -4,6 +4,8 @@ A bidirectional gated recurrent network over bytes, trained here in numpy, label
 every position; the labels of a sentence's positions are pooled, and a
 document's languages are those of its whole sentences (in its text, its chunks
 and the halves of its title) with the pooled probability as confidence.
+``language_segments`` cuts every text where the labels of its positions change,
+``document_languages`` pools all positions of a document, however short it is.
 
 The network is fitted on a bounded sample of labelled rows (``TRAIN_ROWS``); a
 training window must agree with its label in the frequent words it holds.
@@ -11,7 +13,8 @@ Everything else reads every row whole.
 
 Defined results: null and empty texts hold no sentence; a label that is null,
 empty or names no known language names none; repeated rows change nothing; an
-empty table gives an empty result; columns that are not named are not read.
+empty table gives an empty result; columns that are not named are not read.  A text
+without a letter of the code page has no segment, a document without one no language.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.gru import BLANK, DIGIT, BiGRU, encode, points
+from folioforge.llm.gru import BLANK, DIGIT, SIGN, BiGRU, encode, points
 from folioforge.shared import spread
 
 LANGUAGES = ("en", "ru", "uk", "de", "fr", "es")
@@ -44,6 +47,8 @@ TRAIN_ROWS = 3_000
 WINDOW = 96
 HIDDEN = 16
 CONFIDENCE = 0.92
+SWITCH = 9.0  # log-odds that a change of language within a piece must make up for
+LONGEST = 1_000  # characters that are labelled at once
 INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060-\u2064\ufeff]")
 ODD = re.compile("[\u0300-\u036f\u00ad\u200b-\u200f\u2060-\u2064\ufb00-\ufb06\ufeff\uff01-\uff5e]")
 TITLE_BREAK = re.compile(r"\s+(?:=|//?)\s+")
@@ -240,7 +245,163 @@ def sentence_languages(df: DataFrame, key: str, text: str, model: BiGRU, title:
     return narrow.mapInArrow(run, f"{key} {kind.simpleString()}, lang string, sentences bigint, weight double")
 
 
+def _spans(text: str) -> list[tuple[int, int]]:
+    """Where the pieces of a text stand: its sentences and lines, long ones in parts."""
+    ends = [(m.start(), m.end()) for m in BREAK.finditer(text)]
+    spans = []
+    for low, high in zip([0, *(e for _, e in ends)], [*(b for b, _ in ends), len(text)]):
+        while high - low > LONGEST:
+            at = text.rfind(" ", low + LONGEST // 2, low + LONGEST)
+            at = at if at > 0 else low + LONGEST
+            spans.append((low, at))
+            low = at
+        if high > low:
+            spans.append((low, high))
+    return spans
+
+
+def _paths(posterior: np.ndarray) -> np.ndarray:
+    """The best sequence of labels of every piece when each change costs ``SWITCH``: (steps, pieces)."""
+    classes, t, b = posterior.shape
+    gain = np.log(np.maximum(posterior, 1e-6)).transpose(1, 2, 0)
+    score = gain[0].copy()
+    came = np.empty((t, b, classes), dtype=np.int8)
+    own = np.arange(classes, dtype=np.int8)
+    for i in range(1, t):
+        top = score.argmax(1)
+        other = score[np.arange(b), top] - SWITCH
+        stay = score >= other[:, None]
+        came[i] = np.where(stay, own, top[:, None])
+        score = np.where(stay, score, other[:, None]) + gain[i]
+    path = np.empty((t, b), dtype=np.int8)
+    path[-1] = score.argmax(1)
+    for i in range(t - 1, 0, -1):
+        path[i - 1] = came[i][np.arange(b), path[i]]
+    return path
+
+
+def segments_of(texts: list[str | None], model: BiGRU) -> list[tuple[int, int, int, int, float]]:
+    """(row, begin, end, language, confidence) of every stretch of one language, in order."""
+    rows, spans, pieces = [], [], []
+    for row, text in enumerate(texts):
+        if not text:
+            continue
+        code = encode(points(text))
+        for a, b in _spans(text):
+            if (code[a:b] > SIGN).any():
+                rows.append(row)
+                spans.append((a, b))
+                pieces.append(code[a:b])
+    found: list[list] = [[] for _ in pieces]
+    for part, posterior in model.batches(pieces):
+        path = _paths(posterior)
+        for j, k in enumerate(part):
+            a, b = spans[k]
+            steps = (len(pieces[k]) + 1) // 2
+            own = path[:steps, j]
+            cuts = np.flatnonzero(own[1:] != own[:-1]) + 1
+            low, begin = 0, a
+            for high in [*cuts.tolist(), steps]:
+                end = b
+                if high < steps:  # a change is put before the word it is found in
+                    end = texts[rows[k]].rfind(" ", begin, a + 2 * high) + 1 or a + 2 * high
+                if own[low] != OTHER and end > begin:
+                    found[k].append((rows[k], begin, end, int(own[low]), float(posterior[own[low], low:high, j].mean())))
+                low, begin = high, max(begin, end)
+    out: list[tuple[int, int, int, int, float]] = []
+    for k, own in enumerate(found):
+        for row, begin, end, lang, sure in own:
+            # Successive pieces of one language are one segment.
+            if out and out[-1][0] == row and out[-1][3] == lang and not texts[row][out[-1][2] : begin].strip(" \t\r\n\"»”)"):
+                _, b0, e0, _, s0 = out.pop()
+                sure = (s0 * (e0 - b0) + sure * (end - begin)) / (e0 - b0 + end - begin)
+                begin = b0
+            out.append((row, begin, end, lang, sure))
+    return out
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches of about two million characters of column ``t``."""
+    for batch in batches:
+        low = size = 0
+        for i, t in enumerate(batch.column("t").to_pylist()):
+            size += len(t or "")
+            if size > 2_000_000:
+                yield batch.slice(low, i + 1 - low)
+                low, size = i + 1, 0
+        if low < batch.num_rows:
+            yield batch.slice(low)
+
+
+def language_segments(df: DataFrame, keys: list[str], text: str, model: BiGRU) -> DataFrame:
+    """keys, begin, end, lang, confidence: every stretch of one language in every text, as offsets of characters."""
+    narrow = spread(df.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col(text).alias("t")).filter("t IS NOT NULL"))
+    names = [f"k{i}" for i in range(len(keys))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _blocks(batches):
+            found = segments_of(batch.column("t").to_pylist(), model)
+            at = pa.array([f[0] for f in found], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(n).take(at) for n in names], pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.int32()),
+                 pa.array([LANGUAGES[f[3]] for f in found], pa.string()), pa.array([f[4] for f in found], pa.float64())],
+                [*names, "begin", "end", "lang", "confidence"])
+
+    fields = ", ".join(f"k{i} {df.schema[k].dataType.simpleString()}" for i, k in enumerate(keys))
+    out = narrow.mapInArrow(run, fields + ", begin int, end int, lang string, confidence double")
+    return out.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], "begin", "end", "lang", "confidence")
+
+
+def pooled_labels(df: DataFrame, key: str, text: str, model: BiGRU) -> DataFrame:
+    """key and the sums of the posteriors of each language, over all positions of each text."""
+    narrow = spread(df.select(F.col(key).alias("id"), F.col(text).alias("t")).filter("t IS NOT NULL"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _blocks(batches):
+            rows, pieces = [], []
+            for row, t in enumerate(batch.column("t").to_pylist()):
+                code = encode(points(t))
+                if (code > SIGN).any():
+                    own = [code[a:b] for a, b in _spans(t)]
+                    rows += [row] * len(own)
+                    pieces += own
+            if not pieces:
+                continue
+            weight = np.array([(len(p) + 1) // 2 for p in pieces], dtype=np.float64)
+            p = model.label(pieces) * weight[:, None]
+            total = np.zeros((batch.num_rows, len(LANGUAGES) + 1))
+            np.add.at(total, np.array(rows), p)
+            held = np.flatnonzero(total.sum(1) > 0)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").take(pa.array(held)), *[pa.array(total[held, i]) for i in range(len(LANGUAGES) + 1)]], ["id", *LANGUAGES, "other"])
+
+    sums = ", ".join(f"{lang} double" for lang in (*LANGUAGES, "other"))
+    return narrow.mapInArrow(run, f"id {df.schema[key].dataType.simpleString()}, {sums}").withColumnRenamed("id", key)
+
+
 def document_languages(documents: DataFrame, chunks: DataFrame, common: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+    """doc_id, lang, confidence: the most probable language of every document with a letter in its text, chunks or title.
+
+    The confidence is the share of the document's positions that are labelled so.
+    """
+    model = fit_on(documents, "text", "title", "lang", "doc_id", common, rows)
+    parts = pooled_labels(documents, "doc_id", "text", model).unionByName(pooled_labels(chunks, "doc_id", "text", model)).unionByName(pooled_labels(documents, "doc_id", "title", model))
+    sums = parts.groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in (*LANGUAGES, "other")])
+    best = F.greatest(*[F.col(c) for c in LANGUAGES])
+    lang = F.coalesce(*[F.when(F.col(c) == best, c) for c in LANGUAGES])
+    return sums.select("doc_id", lang.alias("lang"), (best / sum(F.col(c) for c in (*LANGUAGES, "other"))).alias("confidence"))
+
+
+def document_segments(documents: DataFrame, chunks: DataFrame, common: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+    """doc_id, chunk_index (-1: the text, -2: the title), begin, end, lang, confidence of every segment."""
+    model = fit_on(documents, "text", "title", "lang", "doc_id", common, rows)
+    texts = chunks.select("doc_id", F.col("chunk_index").cast("int").alias("chunk_index"), "text")
+    for place, column in ((-1, "text"), (-2, "title")):
+        texts = texts.unionByName(documents.select("doc_id", F.lit(place).alias("chunk_index"), F.col(column).alias("text")))
+    return language_segments(texts, ["doc_id", "chunk_index"], "text", model)
+
+
+def sentence_totals(documents: DataFrame, chunks: DataFrame, common: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, lang, sentences, confidence: every language a document has a whole sentence or title in."""
     model = fit_on(documents, "text", "title", "lang", "doc_id", common, rows)
     parts = (
@@ -253,5 +414,5 @@ def document_languages(documents: DataFrame, chunks: DataFrame, common: DataFram
 def unnamed_languages(documents: DataFrame, chunks: DataFrame, common: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, lang: the languages of a document that its label does not name."""
     labels = documents.select("doc_id", label_of(F.col("lang")).alias("named"))
-    found = document_languages(documents, chunks, common, rows).select("doc_id", "lang")
+    found = sentence_totals(documents, chunks, common, rows).select("doc_id", "lang")
     return found.join(labels, "doc_id").filter("named IS NULL OR named != lang").select("doc_id", "lang").distinct()

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from folioforge.llm.gru import BiGRU, encode, points
-from folioforge.llm.languages import LANGUAGES, OTHER, Sentences, label_of, train, unnamed_languages
+from folioforge.llm.languages import LANGUAGES, OTHER, Sentences, document_languages, document_segments, label_of, segments_of, train, unnamed_languages
 
 TEXTS = {
     "en": ["the river was low that summer and the boats stayed in the harbour", "when the mill closed most of the people moved to the city by the sea", "it is known that the bridge was built for the market and not for the army"],
@@ -86,3 +86,39 @@ def test_rows(spark):
     got = {tuple(r) for r in unnamed_languages(d, c, w).collect()}
     assert {(900, "ru"), (901, "en"), (903, "de")} <= got and len(got) <= 6
     assert unnamed_languages(d.limit(0), c.limit(0), w).count() == 0
+
+
+def test_segments(model):
+    """Several languages in one text, also within one sentence; offsets are those of the text."""
+    de, ru, en = many("de")[0], many("ru")[1], many("en")[2]
+    texts = [None, "", "12 | 34 | --", de + "\n\n" + ru + " " + en, de]
+    found = segments_of(texts, model)
+    assert {f[0] for f in found} == {3, 4} or {f[0] for f in found} == {2, 3, 4}
+    own = [f for f in found if f[0] == 3]
+    for lang, part in (("de", de), ("ru", ru), ("en", en)):
+        at = texts[3].index(part)
+        held = sum(min(e, at + len(part)) - max(b, at) for _, b, e, k, _ in own if LANGUAGES[k] == lang and b < at + len(part) and e > at)
+        assert held > 0.9 * len(part), (lang, own)
+    assert all(0 <= f[4] <= 1.0001 for f in found) and all(a[2] <= b[1] for a, b in zip(own, own[1:]))
+    mixed = many("ru")[3].rstrip(".") + " " + many("en")[4].lower()
+    kinds = [LANGUAGES[f[3]] for f in segments_of([mixed], model) if f[2] - f[1] > 40]
+    assert kinds[0] == "ru" and kinds[-1] == "en"
+
+
+def test_every_document_has_a_language(spark):
+    docs, chunks, i = [], [], 0
+    for lang in LANGUAGES:
+        for t in many(lang):
+            i += 1
+            docs.append((i, t, lang, "Short", "x"))
+            chunks.append((i, 0, t))
+    docs += [(900, "und das Heer zog", None, None, "x"), (901, None, "de", None, "x"), (902, "1 2 3 !!", None, "", "x"), (903, None, None, "что мост был для рынка", "x")]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string, lang string, title string, begin string")
+    c = spark.createDataFrame(chunks, "doc_id bigint, chunk_index int, text string")
+    w = spark.createDataFrame(COMMON, "lang string, word string")
+    got = {r["doc_id"]: r["lang"] for r in document_languages(d, c, w).collect()}
+    assert len(got) == i + 2 and got[900] == "de" and got[903] == "ru"
+    assert sum(got[k + 1] == docs[k][2] for k in range(i)) > 0.97 * i
+    rows = document_segments(d, c, w).filter("doc_id >= 900").collect()
+    assert {(r["doc_id"], r["chunk_index"]) for r in rows} == {(900, -1), (903, -2)}
+    assert document_languages(d.limit(0), c.limit(0), w).count() == 0 == document_segments(d.limit(0), c.limit(0), w).count()
