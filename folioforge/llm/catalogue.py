@@ -142,5 +142,6 @@ _p3_authors = lookalikes.consistent_sql("(SELECT doc_id, CAST(-1 AS INTEGER) AS
 ORACLE = {
     "p3_found": f"SELECT DISTINCT doc_id, chunk_index FROM (SELECT * FROM ({_p3_chunks}) UNION ALL SELECT * FROM ({_p3_authors})) WHERE changed",
     "p3_text": lookalikes.consistent_sql("chunks", "chunk_id", "text", False),
+    "p10_statistics": quality.statistics_sql("documents", "doc_id", "text", "SELECT word FROM common_words"),
     "p5_found": "SELECT chunk_id FROM chunks WHERE length(text) > 4000",
 }

@@ -14,6 +14,7 @@ result; columns that are not named are not read.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,14 +26,47 @@ from folioforge.llm.quality_examples import EXAMPLES
 from folioforge.shared import cut, spread
 
 KINDS = list(EXAMPLES)
-ROUNDS = 12
+ROUNDS = 100  # at most; told if not settled by then
 FLOOR = 0.02  # added to each variance of the standardised statistics
 TOLERANCE = 1e-3
 
 
+def _quoted(common: list[str]) -> str:
+    return ", ".join("'" + w.replace("\\", "").replace("'", "\\'") + "'" for w in sorted(set(common))) or "''"
+
+
 def statistics(df: DataFrame, key: str, text: str, common: list[str]) -> DataFrame:
-    """Counts and shares of every text that is neither null nor blank, by built-in expressions."""
-    words = ", ".join("'" + w.replace("\\", "").replace("'", "\\'") + "'" for w in sorted(set(common))) or "''"
+    """Counts and shares of every text, as it is stored, that is neither null nor blank.
+
+    A word is a run of letters; a line is one that holds more than blanks, ended
+    if its last sign is one of ``. ! ? …``, closing signs after it aside.
+    """
+    base = spread(df.select(F.col(key).alias("id"), F.col(text).alias("t"))).filter(r"t rlike '[^\\s\\p{Z}]'")
+    counted = base.selectExpr(
+        "id", "length(t) AS n_chars", r"filter(split(lower(t), '[^\\p{L}\\p{M}]+'), x -> x != '') AS w",
+        r"regexp_count(t, '[^\\p{L}\\p{M}\\p{Nd}\\s\\p{Z}]') AS symbols", r"regexp_count(t, '\\p{Nd}') AS digits",
+        r"regexp_count(t, '[^\\n]*[^\\s\\p{Z}][^\\n]*') AS n_lines", r"regexp_count(t, '[.!?…][)\"»”]*[ \\t\\r]*(?:\\n|$)') AS ended")
+    return counted.selectExpr(
+        "id", "n_chars", "size(w) AS n_words", "n_lines", "if(size(w) = 0, 0d, length(array_join(w, '')) / size(w)) AS mean_word_length",
+        "symbols / n_chars AS symbol_ratio", "digits / n_chars AS digit_ratio", "least(1d, ended / n_lines) AS ended_line_share",
+        f"if(size(w) = 0, 0d, size(filter(w, x -> x IN ({_quoted(common)}))) / size(w)) AS common_word_share").withColumnRenamed("id", key)
+
+
+def statistics_sql(source: str, key: str, text: str, common: str) -> str:
+    """The same as SQL; ``common`` is a query of one column of words."""
+    return rf"""WITH k AS (SELECT list(DISTINCT word) AS ks FROM ({common}) q(word)),
+ b AS (SELECT {key}, {text} AS t, list_filter(regexp_split_to_array(lower({text}), '[^\p{{L}}\p{{M}}]+'), lambda x: x <> '') AS w FROM {source} WHERE regexp_matches({text}, '[^\s\p{{Z}}]')),
+ c AS (SELECT {key}, w, length(t) AS n_chars, len(w) AS n_words, len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\s\p{{Z}}]'))) AS n_lines,
+  len(regexp_extract_all(t, '[^\p{{L}}\p{{M}}\p{{Nd}}\s\p{{Z}}]')) AS symbols, len(regexp_extract_all(t, '\p{{Nd}}')) AS digits,
+  len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[.!?…][)"»”]*[ \t\r]*$'))) AS ended, len(list_filter(w, lambda x: list_contains(ks, x))) AS n_common FROM b, k)
+ SELECT {key}, CAST(n_chars AS INTEGER) AS n_chars, CAST(n_words AS INTEGER) AS n_words, CAST(n_lines AS INTEGER) AS n_lines,
+  CASE WHEN n_words = 0 THEN 0 ELSE length(array_to_string(w, '')) / n_words END AS mean_word_length, symbols / n_chars AS symbol_ratio, digits / n_chars AS digit_ratio,
+  least(1.0, ended / n_lines) AS ended_line_share, CASE WHEN n_words = 0 THEN 0 ELSE n_common / n_words END AS common_word_share FROM c"""
+
+
+def shape(df: DataFrame, key: str, text: str, common: list[str]) -> DataFrame:
+    """What tells the kinds of text apart, of texts with blanks and line ends set alike."""
+    words = _quoted(common)
     # Blanks of any kind are blanks, and words set wide apart or one to a line are still running text.
     blank = r"\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{202F}\\x{205F}\\x{3000}"
     one_to_a_line = r"\\n(?=[\\p{Ll}\\p{Nd}%°(][^\\s;,|]*(?:\\n|$))"
@@ -71,11 +105,11 @@ def statistics(df: DataFrame, key: str, text: str, common: list[str]) -> DataFra
         "separators / n_tokens AS separator_ratio",
         "mixed / n_tokens AS mixed_ratio", "odd / n_chars AS odd_ratio",
         "least(1d, brief_lines / n_lines) AS brief_line_share",
-        # Of a long text's words, few are new: beyond 400 the length no longer counts.
-        "if(n_words = 0, 1d, least(1d, ln(1 + n_distinct) / ln(1 + least(n_words, 400)))) AS variety")
+        # New words get rarer the longer a text is: its length counts less and less, towards 400.
+        "if(n_words = 0, 1d, least(1d, ln(1 + n_distinct) / ln(1 + n_words / (1 + n_words / 400d)))) AS variety")
 
 
-#: What the mixture sees of the statistics.
+#: What the mixture sees.
 FEATURES = (
     "ln(1 + mean_word_length)", "sqrt(symbol_ratio)", "sqrt(digit_ratio)", "ended_line_share", "sqrt(common_word_share)",
     "marked_line_share", "ln(1 + tokens_per_line)", "ln(1 + tokens_per_sentence)", "sqrt(least(2d, separator_ratio))",
@@ -172,6 +206,8 @@ def fit_mixture(table: DataFrame, examples: DataFrame, groups: list[int], rounds
         if abs(ll / rows - before) < TOLERANCE:
             break
         before = ll / rows
+    else:
+        warnings.warn(f"the mixture has not settled after {rounds} rounds", stacklevel=2)
     return model
 
 
@@ -186,8 +222,8 @@ def text_kinds(df: DataFrame, key: str, text: str, common: list[str], rounds: in
                 rows.append((len(rows), t))
                 groups.append(len(of_group))
             of_group.append(KINDS.index(kind))
-    examples = _features(statistics(spark.createDataFrame(rows, "id int, t string"), "id", "t", common))
-    table = cut(_features(statistics(df, key, text, common)), "quality")
+    examples = _features(shape(spark.createDataFrame(rows, "id int, t string"), "id", "t", common))
+    table = cut(_features(shape(df, key, text, common)), "quality")
     model = fit_mixture(table, examples, groups, rounds)
     if model is None:
         return spark.createDataFrame([], f"{key} {kind_type}, kind string, confidence double")

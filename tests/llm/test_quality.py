@@ -13,7 +13,7 @@ def test_statistics_of_a_small_text(spark):
     rows = statistics(df, "doc_id", "text", COMMON).collect()
     assert len(rows) == 1
     r = rows[0]
-    assert (r["n_words"], r["n_lines"]) == (7, 3) and r["ended_line_share"] == pytest.approx(2 / 3) and r["marked_line_share"] == pytest.approx(1 / 3)
+    assert (r["n_chars"], r["n_words"], r["n_lines"]) == (34, 7, 3) and r["ended_line_share"] == pytest.approx(2 / 3) and r["symbol_ratio"] == pytest.approx(3 / 34)
     assert r["mean_word_length"] == pytest.approx(20 / 7) and r["common_word_share"] == pytest.approx(2 / 7)
 
 
