@@ -1,18 +1,24 @@
 """Noise in text from scanned pages (problem 2).
 
 Two passes over all texts.  The first counts, per text once: words, hyphenated
-compounds, pairs of fragments around a broken word, and the capitalised words of
-lines that stand, unfinished, inside a sentence - page edges, where headers and
-footers repeat with other numbers and names.  From the counts follow, word by
-word and never text by text:
+compounds, pairs of fragments around a broken word, and the shingles (two
+successive words or signs, figures masked) of lines that stand, unfinished, inside a
+sentence - page edges, where headers and footers repeat with other numbers and
+names.  From the counts follow, word by word and never text by text:
 
 * misread words: rare words with the skeleton (letters that scanners confuse
   taken as one) of a word that is far more frequent;
 * broken words: pairs whose parts make a word of the corpus, not a compound;
-* header words: words that stand mostly in page-edge lines.
+* header shingles: those that repeat at page edges, and stand there for a good
+  part of the texts that hold their words.
 
-The second pass removes headers and page numbers, joins broken words and lines
-and mends misread words.
+A line is a header if half of its shingles are such: it is like many other edge
+lines without being equal to any.  A page number is a line of its own, or set off
+by a wide gap from a name or title in capitals; numbers need not rise from one
+text to the next, as texts are pieces.
+
+The second pass removes headers and page numbers, joins broken words, joins the
+lines of every text, damaged or not, and mends misread words.
 
 Defined results: null gives null and no damage; an empty text stays empty; texts
 are read whole; repeated rows count as often as they occur and get equal results;
@@ -36,7 +42,8 @@ from folioforge.shared import cut, spread
 TIMES = 10  # a misread word is so many times rarer than the word meant
 SHARE = 0.002  # and stands in no more than this share of all texts
 LEAST = 4  # texts that hold a word of the corpus
-HEADER_TEXTS = 3
+HEADER_TEXTS = 3  # whose edge lines share a shingle
+HEADER_SHARE = 0.05  # of the texts that hold the rarest word of a header shingle
 SHIPPED_ENTRIES = 400_000  # dictionaries above this are joined, not shipped
 FLUSH = 200_000
 
@@ -55,11 +62,10 @@ ENDED = re.compile(r"[.!?:;…][)\"»”']*\s*$")
 SHOUTED = re.compile(r"\s*(?:\d{1,4}\s{2,}[^a-zа-яёіїє\d\n]{3,}|[^a-zа-яёіїє\d\n]{3,}\s{2,}\d{1,4})\s*")
 #: The same run into a line of small letters: a number and a shouted name, or a shouted title and a number.
 RUN_IN = re.compile(r"(?:(?<=[^\W\d_A-ZÀ-ÖØ-ÞА-ЯЁІЇЄ] )|(?<=[\d%.,°] ))(?:\d{1,4}\s{2,}[A-ZÀ-ÖØ-ÞА-ЯЁІЇЄ][A-ZÀ-ÖØ-ÞА-ЯЁІЇЄ'-]{3,}|[A-ZÀ-ÖØ-ÞА-ЯЁІЇЄ][A-ZÀ-ÖØ-ÞА-ЯЁІЇЄ' ,:()-]{11,}\s{2,}\d{1,4})(?=\s|$)")
-ISSUE = r"(?:,? \d{4}, \d+, \d+| \d+ \(\d{4}\)(?: \d+[–-]\d+)?|,? Vol\. \d+ \(\d{4}\)| —)?"
-BEFORE_TITLE = r"(?:\d{1,4} \| |— [^—\n]{2,30} · |[^\s]+ et al\. / )?"
 CAPITALISED = re.compile(r"[^\W\d_a-zà-öø-ÿа-яёіїє][^\W\d_]{2,}")
 LINKING = re.compile(r"on|of|and|the|et|al\.|in|[\d,.()–-]+|[/·|—]")
 FIGURE = re.compile(r"\(?\d{1,4}(?:[–-]\d{1,4})?\)?,?")
+MARK = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
 SIGNS = {"/", "·", "|", "—", "–"}
 REFERENCE = re.compile(r"\s*(?:\[\d+\]|\d+\.\s+[^\W\d_]+ [A-ZА-Я]\.)")
 
@@ -114,6 +120,12 @@ def edges(lines: list[str]) -> list[tuple[int, bool]]:
     return found
 
 
+def shingles(line: str) -> list[str]:
+    """Pairs of successive words and signs, figures masked, that hold a word of three letters."""
+    marks = ["#" if t.isdigit() else t for t in MARK.findall(line.lower())]
+    return [f"{a} {b}" for a, b in zip(marks, marks[1:]) if len(a) > 2 or len(b) > 2]
+
+
 def _count(texts: list[str | None], into: Counter) -> None:
     for text in texts:
         if not text:
@@ -132,12 +144,12 @@ def _count(texts: list[str | None], into: Counter) -> None:
             lines = text.split("\n")
             for i, inside in edges(lines):
                 if inside and not DECIMAL.search(lines[i]) and not ENDED.search(lines[i]):
-                    keys |= {"c" + w.lower() for w in CAPITALISED.findall(lines[i])}
+                    keys |= {"e" + x for x in shingles(lines[i])}
         into.update(keys)
 
 
 def corpus_counts(texts: DataFrame, column: str) -> DataFrame:
-    """key, n: in how many texts each word, compound, broken pair and page-edge word stands."""
+    """key, n: in how many texts each word, compound, broken pair and page-edge shingle stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         into: Counter = Counter()
@@ -169,7 +181,7 @@ def _with_skeleton(df: DataFrame, column: str) -> DataFrame:
 
 
 def dictionaries(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(word, meant) of misread words and (pair, action) of broken ones, with header words as action 'header'."""
+    """(word, meant) of misread words and (pair, action) of broken ones, with header shingles as action 'header'."""
     total = counts.filter("key = 'n'").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     kind = lambda k: counts.filter(F.substring("key", 1, 1) == k).select(F.expr("substring(key, 2)").alias("x"), "n")
     words = cut(_with_skeleton(kind("w").filter("x != ''"), "x"), "words")
@@ -195,8 +207,9 @@ def dictionaries(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     broken = decided.filter(join).select("pair", F.lit("join").alias("action"))
     stray = compounds.select(F.regexp_replace("compound", "-", "").alias("ab"), "compound", "n_k").join(known, "ab").filter(
         (F.col("n_ab") >= TIMES * F.col("n_k")) & (F.col("n_ab") >= LEAST) & (F.length("ab") >= 5)).select(F.col("compound").alias("pair"), F.lit("join").alias("action"))
-    header = kind("c").withColumnRenamed("n", "n_c").join(words.select("x", "n"), "x").filter(
-        (F.col("n_c") >= HEADER_TEXTS) & (F.col("n_c") >= 0.5 * F.col("n"))).select(F.col("x").alias("pair"), F.lit("header").alias("action"))
+    edge = kind("e").filter(F.col("n") >= HEADER_TEXTS).withColumnRenamed("n", "n_e")
+    held = edge.select("x", "n_e", F.explode(F.filter(F.split("x", " "), lambda w: F.length(w) > 2)).alias("word")).join(words.select(F.col("x").alias("word"), "n"), "word")
+    header = held.groupBy("x", "n_e").agg(F.min("n").alias("n")).filter(F.col("n_e") >= HEADER_SHARE * F.col("n")).select(F.col("x").alias("pair"), F.lit("header").alias("action"))
     return misread, broken.unionByName(stray).unionByName(header)
 
 
@@ -208,10 +221,23 @@ class Mender:
         self.header = {k for k, a in actions.items() if a == "header"}
         self.join = {k for k, a in actions.items() if a == "join"}
         self.bad = set(misread)
-        self.titles: dict[str, list[str]] = {}  # known titles of journals by their first word
-
-    def _titles_in(self, low: str, words: set[str]) -> list[str]:
-        return [t for w in words & self.titles.keys() for t in self.titles[w] if t in low]
+        self.header_words = {w for x in self.header for w in x.split(" ") if len(w) > 2}
+
+    def _head_words(self, words: list[str]) -> list[int]:
+        """Which words of a line stand in runs of header shingles that hold a word with a capital."""
+        if not any(w.lower() in self.header_words for word in words for w in CAPITALISED.findall(word)):
+            return []
+        marks = [(i, "#" if t.isdigit() else t.lower(), bool(CAPITALISED.fullmatch(t))) for i, word in enumerate(words) for t in MARK.findall(word)]
+        found: set[int] = set()
+        run = marks[:1]
+        for a, b in zip(marks, [*marks[1:], (0, "", False)]):
+            if f"{a[1]} {b[1]}" in self.header:
+                run.append(b)
+                continue
+            if len(run) > 1 and any(m[2] for m in run):
+                found.update(m[0] for m in run if len(m[1]) > 2)
+            run = [b]
+        return sorted(found)
 
     def _edge_lines(self, lines: list[str]) -> set[int]:
         out = set()
@@ -224,10 +250,9 @@ class Mender:
             elif inside and SHOUTED.fullmatch(line):
                 out.add(i)
             elif not DECIMAL.search(line) and not REFERENCE.match(line):
-                words = [w.lower() for w in CAPITALISED.findall(line)]
-                if inside and self.titles and len(line) < 110 and self._titles_in(line.lower(), set(TOKEN.findall(line.lower()))):
-                    out.add(i)
-                elif words and 2 * sum(w in self.header for w in words) >= len(words) and (inside or len(words) > 1):
+                own = shingles(line)
+                alike = sum(x in self.header for x in own)
+                if own and 2 * alike >= len(own) and (inside or alike > 1):
                     out.add(i)
         return out
 
@@ -250,13 +275,9 @@ class Mender:
             return True
         if "  " in text and RUN_IN.search(text):
             return True
-        if self.titles and (found := self._titles_in(low, words)):
-            for line in lines:
-                if not REFERENCE.match(line) and any(t in line.lower() for t in found):
-                    return True
-        if not self.header.isdisjoint(words):
+        if not self.header_words.isdisjoint(words):
             for line in lines:
-                if sum(w.lower() in self.header for w in CAPITALISED.findall(line)) >= 2 and not REFERENCE.match(line):
+                if not REFERENCE.match(line) and len(self._head_words(line.split())) >= 2:
                     return True
         return False
 
@@ -270,18 +291,16 @@ class Mender:
         return meant[:1].upper() + meant[1:] if word[:1].isupper() else meant
 
     def _inline(self, line: str) -> str:
-        """Without headers that ran into the line: runs of header words with the numbers and signs that belong to them."""
+        """Without headers that ran into the line: runs of words in header shingles with the numbers and signs that belong to them."""
         if REFERENCE.match(line):
             return line
         if "  " in line:
             line = RUN_IN.sub("", line)
-        for title in self._titles_in(line.lower(), set(TOKEN.findall(line.lower()))):
-            line = re.sub(BEFORE_TITLE + re.escape(title) + ISSUE, "", line, flags=re.IGNORECASE)
         if not self.header:
             return line
         parts = re.split(r"(\s+)", line)
         words = parts[0::2]
-        at = [i for i, t in enumerate(words) if any(w.lower() in self.header for w in CAPITALISED.findall(t))]
+        at = self._head_words(words)
         if len(at) < 2:
             return line
         runs: list[list[int]] = []
@@ -349,33 +368,23 @@ class Mender:
 
 def _entries(text: str) -> set[str]:
     """Everything of a text that a dictionary may hold."""
-    low = clean(text).lower()
+    text = clean(text)
+    low = text.lower()
     found = set(TOKEN.findall(low)) | {f"{a}-{b}" for a, b in COMPOUND.findall(low)}
+    found |= {x for line in text.split("\n") for x in shingles(line)}
     return found | {f"{m.group(1)}\t{m.group(2)}\t{m.group(4)}" for m in BROKEN.finditer(low)}
 
 
-def _titles(titles: DataFrame) -> DataFrame:
-    """entry, meant: known titles (one text column) by first word; those of one word or of one row are no titles."""
-    plain = F.trim(F.lower(F.col(titles.columns[0])))
-    often = titles.select(plain.alias("t")).filter("t LIKE '_% _%'").groupBy("t").count().filter("count > 1")
-    first = F.regexp_extract("t", r"^([\p{L}\p{N}]+)", 1)
-    return often.select(first.alias("entry"), "t").filter("entry != ''").groupBy("entry").agg(
-        F.concat(F.lit("\ttitles\x01"), F.array_join(F.sort_array(F.collect_set("t")), "\x01")).alias("meant"))
-
-
-def _apply(df: DataFrame, column: str, keys: list[str], work, schema: str, shipped: int, titles: DataFrame | None) -> DataFrame:
+def _apply(df: DataFrame, column: str, keys: list[str], work, schema: str, shipped: int) -> DataFrame:
     """Run ``work(mender, batch columns)`` over all texts, the dictionaries shipped or, if large, joined."""
     narrow = spread(df.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col(column).cast("string").alias("t")))
     misread, actions = dictionaries(cut(corpus_counts(narrow, "t"), "counts"))
     every = misread.select(F.col("word").alias("entry"), F.col("meant")).unionByName(
         actions.select(F.col("pair").alias("entry"), F.concat(F.lit("\t"), "action").alias("meant")))
-    entries = cut(every.unionByName(_titles(titles)) if titles is not None else every, "entries")
+    entries = cut(every, "entries")
 
     def mender(pairs: list) -> Mender:
-        plain = {a: b[1:] for a, b in pairs if b[0] == "\t" and not b.startswith("\ttitles")}
-        made = Mender({a: b for a, b in pairs if b[0] != "\t"}, plain)
-        made.titles = {a: b.split("\x01")[1:] for a, b in pairs if b.startswith("\ttitles")}
-        return made
+        return Mender({a: b for a, b in pairs if b[0] != "\t"}, {a: b[1:] for a, b in pairs if b[0] == "\t"})
 
     if entries.count() <= shipped:
         shared = mender([(r[0], r[1]) for r in entries.collect()])
@@ -412,27 +421,27 @@ def _key_fields(df: DataFrame, keys: list[str]) -> str:
     return ", ".join(f"k{i} {df.schema[k].dataType.simpleString()}" for i, k in enumerate(keys))
 
 
-def damaged_texts(df: DataFrame, column: str, keys: list[str], shipped: int = SHIPPED_ENTRIES, titles: DataFrame | None = None) -> DataFrame:
-    """keys of the rows whose text holds scan damage; ``titles``: a column of journal titles, as running headers have them."""
+def damaged_texts(df: DataFrame, column: str, keys: list[str], shipped: int = SHIPPED_ENTRIES) -> DataFrame:
+    """keys of the rows whose text holds scan damage."""
 
     def work(menders: list[Mender], batch: pa.RecordBatch) -> pa.RecordBatch:
         hit = [m.damaged(t) for m, t in zip(menders, batch.column("t").to_pylist())]
         return batch.select([f"k{i}" for i in range(len(keys))]).filter(pa.array(hit, pa.bool_()))
 
-    out = _apply(df, column, keys, work, _key_fields(df, keys), shipped, titles)
+    out = _apply(df, column, keys, work, _key_fields(df, keys), shipped)
     return out.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)])
 
 
-def repaired_texts(df: DataFrame, column: str, keys: list[str], shipped: int = SHIPPED_ENTRIES, titles: DataFrame | None = None) -> DataFrame:
+def repaired_texts(df: DataFrame, column: str, keys: list[str], shipped: int = SHIPPED_ENTRIES) -> DataFrame:
     """keys, repaired: every text as continuous paragraphs, and whether it was damaged."""
 
     def work(menders: list[Mender], batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column("t").to_pylist()
         hit = [m.damaged(t) for m, t in zip(menders, texts)]
-        mended = [m.mend(t) if h else t for m, t, h in zip(menders, texts, hit)]
+        mended = [m.mend(t) for m, t in zip(menders, texts)]
         return pa.RecordBatch.from_arrays(
             [*[batch.column(f"k{i}") for i in range(len(keys))], pa.array(mended, pa.string()), pa.array(hit, pa.bool_())],
             [*[f"k{i}" for i in range(len(keys))], "repaired", "damaged"])
 
-    out = _apply(df, column, keys, work, _key_fields(df, keys) + ", repaired string, damaged boolean", shipped, titles)
+    out = _apply(df, column, keys, work, _key_fields(df, keys) + ", repaired string, damaged boolean", shipped)
     return out.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], "repaired", "damaged")
