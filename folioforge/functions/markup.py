@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -102,7 +102,7 @@ def formulas(text: str | None) -> str | None:
     return re.sub(r"\$\$(.+?)\$\$", lambda m: "\n\n".join(formula(p) for p in m.group(1).split("\n") if p.strip()), text, flags=re.DOTALL)
 
 
-_rtf = re.compile(r"\\u(-?\d+)\??|\\'([0-9a-fA-F]{2})|\\(par)d?\b ?|\\([A-Za-z]+)-?\d* ?|\\([^A-Za-z])|([{}])")
+_rtf = re.compile(r"\\u(-?\d+)\??|\\'([0-9a-fA-F]{2})|\\(par)d?\b|\\([A-Za-z]+)-?\d* ?|\\([^A-Za-z])|([{}])")
 
 
 def rtf_text(raw: str | None) -> str | None:
@@ -155,3 +155,94 @@ def block_kind(line: Column) -> Column:
     return (
         F.when(s == "", "blank").when(s.rlike("^#{1,6} "), "heading").when(s.rlike("^(-{3,}|\\*{3,}|_{3,})$"), "rule").when(s.rlike("^!\\[[^\\]]*\\]\\([^)]+\\)"), "image")
         .when(s.rlike("^\\|"), "table").when(s.rlike("^>"), "quote").when(s.rlike("^[-*+] "), "bullet").when(s.rlike("^[0-9]+[.)] "), "number").otherwise("paragraph"))
+
+
+def bookmark(text: Column) -> Column:
+    """Name of a place in a document: letters, digits and underscores, 40 characters at most."""
+    plain = F.regexp_replace(F.regexp_replace(text, "[^\\p{L}\\p{N}_]+", "_"), "^_+|_+$", "")
+    return F.left(F.concat(F.lit("bm_"), plain), F.lit(40))
+
+
+def contents(text: Column) -> Column:
+    """Headings of the first three levels in order: array of (level, title, anchor)."""
+    head = "^(#{1,3})\\s+(.*)$"
+    lines = F.filter(F.transform(F.split(text, "\r?\n"), lambda x: F.trim(x)), lambda x: x.rlike(head))
+
+    def entry(x: Column) -> Column:
+        title = F.regexp_replace(F.trim(F.regexp_extract(x, head, 2)), "[*`]", "")
+        return F.struct(F.length(F.regexp_extract(x, head, 1)).alias("level"), title.alias("title"), bookmark(title).alias("anchor"))
+
+    return F.transform(lines, entry)
+
+
+_SPAN = "\\*\\*.+?\\*\\*|\\*[^*\\n]+?\\*|`[^`\\n]+?`"
+
+
+def inline_runs(text: Column) -> Column:
+    """Runs of a line in order: array of (kind, text), kind plain, bold, italic or code."""
+    parts = F.regexp_extract_all(text, F.lit(f"({_SPAN}|(?:(?!{_SPAN})[\\s\\S])+)"), F.lit(1))
+
+    def run(x: Column) -> Column:
+        n = F.length(x)
+        inner = lambda k: F.substr(x, F.lit(k + 1), n - 2 * k)
+        return (
+            F.when(x.rlike("^\\*\\*") & x.rlike("\\*\\*$") & (n > 4), F.struct(F.lit("bold").alias("kind"), inner(2).alias("text")))
+            .when(x.rlike("^\\*[^*]+\\*$") & (n > 2), F.struct(F.lit("italic").alias("kind"), inner(1).alias("text")))
+            .when(x.rlike("^`[^`]+`$") & (n > 2), F.struct(F.lit("code").alias("kind"), inner(1).alias("text")))
+            .otherwise(F.struct(F.lit("plain").alias("kind"), x.alias("text"))))
+
+    return F.transform(parts, run)
+
+
+def table_cells(line: Column) -> Column:
+    """Cells of a markdown table row."""
+    return F.transform(F.split(F.regexp_replace(F.trim(line), "^[|]+|[|]+$", ""), "[|]"), lambda c: F.trim(c))
+
+
+def is_rule_row(line: Column) -> Column:
+    """Whether a row is the rule below a table's head."""
+    bare = F.regexp_replace(F.trim(line), "^[|]+|[|]+$", "")
+    return (bare != "") & F.forall(F.split(bare, "[|]"), lambda c: F.trim(c).rlike("^:?-{2,}:?$"))
+
+
+def markdown_blocks(lines: DataFrame, doc: str, number: str, line: str) -> DataFrame:
+    """doc, block, kind, level, text of markdown lines: what belongs together is glued.
+
+    Paragraphs and list items run on to the next line that opens a block; a table is
+    a row of bars above a rule row with all rows of bars after it, its cells parted
+    by tabs and its rows by line ends, without the rule.
+    """
+    whole = Window.partitionBy(doc).orderBy(number)
+    s = F.trim(line)
+    opens = (s == "") | s.rlike("^[#>|]") | s.rlike("^[-*+]\\s+") | s.rlike("^[0-9]+[.)]\\s+") | s.rlike("^(-{3,}|\\*{3,})$")
+    rows = lines.select(doc, number, s.alias("s"), opens.alias("opens"), s.startswith("|").alias("bar"), is_rule_row(F.col(line)).alias("rule"))
+    rows = rows.withColumn("_run", F.sum((~F.col("bar")).cast("int")).over(whole)).withColumn("_next", F.lead("rule", 1, False).over(whole) & F.lead("bar", 1, False).over(whole))
+    run = Window.partitionBy(doc, "_run", "bar")
+    rows = rows.withColumn("_head", F.min(F.when(F.col("bar") & F.col("_next"), F.col(number))).over(run))
+    in_table = F.col("bar") & (F.col(number) >= F.coalesce("_head", F.col(number) + 1))
+    kind = (
+        F.when(F.col("s") == "", "blank").when(in_table, "table").when(F.col("s").rlike("^(-{3,}|\\*{3,})$"), "rule").when(F.col("s").rlike("^#{1,4}\\s+"), "heading")
+        .when(F.col("s").startswith(">"), "quote").when(F.col("s").rlike("^[-*+]\\s+"), "bullet").when(F.col("s").rlike("^[0-9]+[.)]\\s+"), "number")
+        .when(F.col("opens"), "paragraph").when(F.col("s").rlike("^!\\[[^\\]]*\\]\\([^)]+\\)$"), "image").otherwise("text"))
+    rows = rows.withColumn("kind", kind)
+    # Lines that open nothing go on with a paragraph or item before them; after anything else images stand alone until a text begins.
+    rows = rows.withColumn("_open", F.sum(F.col("opens").cast("int")).over(whole)).withColumn("_before", F.lag("kind", 1, "blank").over(whole)).withColumn("_at", F.lag(number).over(whole))
+    stretch = Window.partitionBy(doc, "_open")
+    rows = rows.withColumn("_opener", F.max(F.when(F.col("opens"), F.col("kind"))).over(stretch)).withColumn("_text", F.min(F.when(F.col("kind") == "text", F.col(number))).over(stretch))
+    loose = F.col("kind").isin("text", "image")
+    goes_on = loose & (F.coalesce(F.col("_opener").isin("bullet", "number", "paragraph"), F.lit(False)) | (F.col(number) > F.coalesce("_text", F.col(number))))
+    begins = (
+        F.when((F.col("kind") == "blank") | goes_on, False)
+        .when(F.col("kind") == "table", F.col(number) == F.col("_head")).when(F.col("kind") == "quote", F.col("_before") != "quote").otherwise(True))
+    rule = (F.col("kind") == "table") & F.coalesce(F.col("_at") == F.col("_head"), F.lit(False))
+    rows = rows.withColumn("block", F.sum(begins.cast("int")).over(whole)).filter((F.col("kind") != "blank") & ~rule)
+    bare = (
+        F.when(F.col("kind") == "heading", F.regexp_replace("s", "^#{1,4}\\s+", "")).when(F.col("kind") == "bullet", F.regexp_replace("s", "^[-*+]\\s+", ""))
+        .when(F.col("kind") == "number", F.regexp_replace("s", "^[0-9]+[.)]\\s+", "")).when(F.col("kind") == "quote", F.regexp_replace("s", "^[> ]+", ""))
+        .when(F.col("kind") == "table", F.array_join(table_cells(F.col("s")), "\t")).otherwise(F.col("s")))
+    parts = rows.withColumn("bare", F.trim(bare)).groupBy(doc, "block").agg(
+        F.min_by("kind", number).alias("kind"), F.min_by(F.length(F.regexp_extract("s", "^(#*)", 1)), number).alias("level"),
+        F.transform(F.array_sort(F.collect_list(F.struct(F.col(number).alias("n"), "bare"))), lambda x: x["bare"]).alias("t"))
+    return parts.select(
+        doc, "block", F.when(F.col("kind") == "text", "paragraph").otherwise(F.col("kind")).alias("kind"), F.when(F.col("kind") == "heading", F.col("level")).alias("level"),
+        F.when(F.col("kind") == "table", F.array_join("t", "\n")).otherwise(F.array_join(F.filter("t", lambda x: x != ""), " ")).alias("text"))

@@ -154,8 +154,14 @@ def page_label(first: Column, last: Column) -> Column:
         .otherwise(F.concat(F.lit("стр. "), first.cast("string"), F.lit("–"), last.cast("string"))))
 
 
-def source_label(filename: Column, longest: int = 52) -> Column:
-    """Readable name of a file: blanks for underscores, no copy numbers, cut with an ellipsis."""
+def source_label(filename: Column, longest: int = 52, aliases: dict[str, str] | None = None) -> Column:
+    """Readable name of a file: blanks for underscores, no copy numbers, cut with an ellipsis.
+
+    ``aliases``: names for files whose name holds a part; the first that fits counts.
+    """
+    if aliases:
+        named = [F.when(F.contains(F.lower(stem(filename)), F.lit(part.lower())), F.lit(name)) for part, name in aliases.items()]
+        return F.coalesce(*named, source_label(filename, longest))
     x = F.regexp_replace(stem(filename), "_+", " ")
     x = F.regexp_replace(x, "\\s*\\([0-9]+\\)\\s*$", "")
     x = F.regexp_replace(x, "(?iu)\\s*-\\s*(копия|copy)\\s*$", "")
@@ -182,3 +188,38 @@ def verdict(best: Column, strong: Column, docs: Column, keyword_docs: Column) ->
     return (
         F.when((best >= 0.58) & (strong >= 2) & (docs >= 2) | (best >= 0.58) & (keyword_docs >= 3), "covered")
         .when((best >= 0.52) | (keyword_docs >= 2), "partial").otherwise("gap"))
+
+
+def fragment(text: Column, chars: int = 700, boilerplate: tuple[str, ...] = ()) -> Column:
+    """A passage for a digest: without boilerplate, blanks squeezed, cut, with an ellipsis."""
+    for pattern in boilerplate:
+        text = F.regexp_replace(text, pattern, " ")
+    return F.concat(F.left(strip(F.regexp_replace(text, f"{W}+", " ")), F.lit(chars)), F.lit("…"))
+
+
+#: Ways in which spoken or hastily typed queries go wrong.
+CORRUPTIONS = ("split word", "endings lost", "word lost", "like letters")
+LIKE_LETTERS = ("оаиебвпдтгкзcieo", "аоеипфбтдкгсkaia")
+
+
+def corrupted(query: Column, kind: str) -> Column:
+    """A query with one kind of damage."""
+    words = F.split(strip(query), f"{W}+")
+    longest = F.array_max(F.transform(words, lambda w, i: F.struct(F.length(w).alias("n"), (-i).alias("i"))))
+    at = -longest["i"]
+    if kind == "split word":
+        half = lambda w: F.concat(F.left(w, F.floor(F.length(w) / 2).cast("int")), F.lit(" "), F.substr(w, F.floor(F.length(w) / 2).cast("int") + 1))
+        return F.array_join(F.transform(words, lambda w, i: F.when(i == at, half(w)).otherwise(w)), " ")
+    if kind == "endings lost":
+        return F.array_join(F.transform(words, lambda w: F.when(F.length(w) >= 5, F.left(w, F.length(w) - 2)).otherwise(w)), " ")
+    if kind == "word lost":
+        return F.array_join(F.filter(words, lambda w, i: (i != at) | (F.size(words) == 1)), " ")
+    if kind == "like letters":
+        return F.array_join(F.transform(words, lambda w, i: F.when(i == at, F.translate(w, *LIKE_LETTERS)).otherwise(w)), " ")
+    raise ValueError(f"unknown corruption {kind}")
+
+
+def result_line(rank: Column, score: Column, citation_: Column, filename: Column, first: Column, last: Column) -> Column:
+    """A hit as a line to read."""
+    return F.concat(
+        F.lit("["), rank.cast("string"), F.lit("] "), F.round(score * 100).cast("int").cast("string"), F.lit(" % "), citation_, F.lit(", "), filename, F.lit(", "), page_label(first, last))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions import text as T
@@ -81,6 +81,11 @@ def overlap(clean: DataFrame, corrupted: DataFrame) -> DataFrame:
     return both.select("query", (F.size(F.array_intersect("a", "b")) / F.size("a")).alias("shared"), (F.col("a_first") == F.col("b_first")).alias("same_first"))
 
 
+def robustness_by_kind(overlaps: DataFrame) -> DataFrame:
+    """kind, mean, queries: the mean of ``shared`` for each kind of corruption."""
+    return overlaps.groupBy("kind").agg(F.round(F.avg("shared"), 4).alias("mean"), F.count("*").alias("queries"))
+
+
 def robustness(overlaps: DataFrame) -> DataFrame:
     return overlaps.agg(
         F.round(F.avg("shared"), 4).alias("mean"), F.round(F.median("shared"), 4).alias("median"), F.round(F.min("shared"), 4).alias("least"), F.round(F.avg(F.col("same_first").cast("double")), 4).alias("first_share"), F.count("*").alias("queries"))
@@ -105,3 +110,71 @@ def carried_sections(lines: DataFrame, default: str = "Без раздела") -
     order = Window.orderBy("line_no")
     s = s.withColumn("section", F.coalesce(F.last("sec", True).over(order), F.lit(default))).withColumn("subsection", F.coalesce(F.last("sub", True).over(order), F.lit("")))
     return s.filter(~F.col("s").startswith("#")).select("line_no", "section", "subsection", F.col("s").alias("topic"))
+
+
+def sections_like(topics: DataFrame, prefix: str) -> DataFrame:
+    """Topics whose section, or subsection where the prefix holds a point, begins with it (``1`` is a beginning of ``10``)."""
+    return topics.filter(F.trim("subsection" if "." in prefix else "section").startswith(prefix.strip()))
+
+
+VERDICTS = ("covered", "partial", "gap")
+
+
+def verdict_counts(covered: DataFrame) -> DataFrame:
+    """topics and the number of each verdict, whichever occur."""
+    return covered.agg(F.count("*").alias("topics"), *[F.count_if(F.col("verdict") == v).alias(v) for v in VERDICTS])
+
+
+def _percent(score: Column) -> Column:
+    return F.concat(F.round(score * 100).cast("int").cast("string"), F.lit(" %"))
+
+
+def coverage_report(covered: DataFrame) -> DataFrame:
+    """part, place, line of a report in markdown: counts, gaps, thin topics, the whole table by section.
+
+    ``covered``: place, section, title, source and the columns of ``coverage``.
+    """
+    c = F.col
+    counts = verdict_counts(covered).select(
+        F.explode(F.array(
+            F.struct(F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("place"), F.lit("# Coverage of topics").alias("line")),
+            F.struct(F.lit(0).alias("part"), F.lit(1).cast("bigint").alias("place"), F.concat(
+                F.lit("**Topics: "), c("topics").cast("string"), F.lit(", covered: "), c("covered").cast("string"), F.lit(", partial: "), c("partial").cast("string"), F.lit(", gap: "), c("gap").cast("string"), F.lit("**")).alias("line")))).alias("x")).select("x.*")
+    gaps = covered.filter("verdict = 'gap'").select(F.lit(1).alias("part"), c("place").cast("bigint").alias("place"), F.concat(
+        F.lit("- **"), c("title"), F.lit("** ("), c("section"), F.lit("): best "), _percent(c("best")), F.lit(", documents with its words: "), c("keyword_docs").cast("string")).alias("line"))
+    thin = covered.filter("verdict = 'partial'").select(F.lit(2).alias("part"), c("place").cast("bigint").alias("place"), F.concat(
+        F.lit("- **"), c("title"), F.lit("**: "), c("source"), F.lit(" ("), _percent(c("best")), F.lit(", sources: "), c("docs").cast("string"), F.lit(", by words: "), c("keyword_docs").cast("string"), F.lit(")")).alias("line"))
+    table = covered.select(F.lit(3).alias("part"), c("place").cast("bigint").alias("place"), F.concat(
+        F.lit("| "), c("section"), F.lit(" | "), c("title"), F.lit(" | "), c("verdict"), F.lit(" | "), _percent(c("best")), F.lit(" | "), c("docs").cast("string"), F.lit(" | "), c("source"), F.lit(" |")).alias("line"))
+    return counts.unionByName(gaps).unionByName(thin).unionByName(table)
+
+
+def digest_report(topics: DataFrame, evidence: DataFrame, chars: int = 700, boilerplate: tuple[str, ...] = (), aliases: dict[str, str] | None = None) -> DataFrame:
+    """topic, place, line: under every topic (place 0) its passages, or a line that there are none.
+
+    ``topics``: topic, title; ``evidence``: topic, place, score, filename, page_start, page_end, text.
+    """
+    head = topics.select("topic", F.lit(0).alias("place"), F.concat(F.lit("#### "), F.col("topic").cast("string"), F.lit(". "), F.col("title")).alias("line"))
+    passages = evidence.select("topic", "place", F.concat(
+        F.lit("**["), T.source_label(F.col("filename"), 70, aliases), F.lit(", "), T.page_label(F.col("page_start"), F.col("page_end")), F.lit("]** ("), _percent(F.col("score")), F.lit(") "),
+        T.fragment(F.col("text"), chars, boilerplate)).alias("line"))
+    none = topics.join(evidence.select("topic").distinct(), "topic", "left_anti").select("topic", F.lit(1).alias("place"), F.lit("_Nothing found in the corpus._").alias("line"))
+    return head.unionByName(passages).unionByName(none)
+
+
+def results_by_tag(hits: DataFrame, queries: DataFrame) -> DataFrame:
+    """tag, query, results: a JSON list of every query's hits in order; of equal tags the last query counts.
+
+    ``queries``: n (their order), tag, query; ``hits``: n, rank and what is to be told of a hit.
+    """
+    last = queries.groupBy("tag").agg(F.max_by(F.struct("n", "query"), "n").alias("q")).select("tag", "q.n", "q.query")
+    told = F.struct("rank", *[c for c in hits.columns if c not in ("n", "rank")])
+    found = hits.groupBy("n").agg(F.to_json(F.array_sort(F.collect_list(told))).alias("results"))
+    return last.join(found, "n", "left").select("tag", "query", F.coalesce("results", F.lit("[]")).alias("results"))
+
+
+def limited_figures(figures: DataFrame, per_file: int = 25, most: int = 25) -> DataFrame:
+    """Figures in the order of files and pages, no more than some of a file and some in all."""
+    own = Window.partitionBy("file").orderBy("page")
+    kept = figures.withColumn("_r", F.row_number().over(own)).filter(F.col("_r") <= per_file).drop("_r")
+    return kept.orderBy("file", "page").limit(most)

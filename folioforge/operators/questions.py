@@ -57,7 +57,9 @@ def merge(questions: DataFrame, source: str, target: str, title: str) -> DataFra
     given = questions.filter(F.col("number") == source).select(F.col("body").alias("given")).limit(1)
     rows = questions.filter(F.col("number") != source).join(F.broadcast(given), F.col("number") == target, "left")
     s = F.coalesce("given", F.lit(""))
-    body = _insert(F.col("body"), LONG, F.when(block(s, LONG) != "", F.concat(F.lit(f"\n**{title}.**\n\n"), block(s, LONG))).otherwise(""))
+    end = block_end(F.col("body"), LONG)
+    longer = F.concat(F.substr("body", F.lit(1), end - 1), F.lit(f"\n\n**{title}.**\n\n"), block(s, LONG), F.lit("\n\n"), F.substr("body", end))
+    body = F.when(end.isNotNull() & (block(s, LONG) != ""), longer).otherwise(F.col("body"))
     rows = rows.withColumn("moved", F.when(F.col("given").isNotNull(), body).otherwise(F.col("body")))
     for name, parts in ((FACTS, table_rows(block(s, FACTS))), (FOLLOW_UPS, bullets(block(s, FOLLOW_UPS)))):
         rows = rows.withColumn("moved", _insert(F.col("moved"), name, F.array_join(parts, "\n")))
@@ -68,12 +70,21 @@ def merge(questions: DataFrame, source: str, target: str, title: str) -> DataFra
     return rows.withColumn("body", F.col("moved")).drop("moved", "given")
 
 
-def split_at(questions: DataFrame, number: str, heading: str, new_number: str, new_title: str) -> DataFrame:
-    """The questions with one of them cut at a sub-heading: what follows it becomes a question of its own."""
+def split_at(questions: DataFrame, number: str, heading: str, new_number: str, new_title: str, new_short: str = "") -> DataFrame:
+    """The questions with one of them cut at a sub-heading: what follows it, up to its facts, follow-ups and sources, becomes a question of its own.
+
+    Those blocks stay in both questions.
+    """
     at = F.instr("body", heading)
     cut = (F.col("number") == number) & (at > 0)
-    first = F.struct("number", "title", F.when(cut, F.regexp_replace(F.substr("body", F.lit(1), at - 1), "\\s+$", "\n\n")).otherwise(F.col("body")).alias("body"), F.lit(0).alias("place"))
-    second = F.when(cut, F.struct(F.lit(new_number).alias("number"), F.lit(new_title).alias("title"), F.concat(F.lit("\n"), F.substr("body", at + F.lit(len(heading)))).alias("body"), F.lit(1).alias("place")))
+    ends = [F.nullif(F.instr(F.substr("body", at), m), F.lit(0)) + at - 1 for m in (FACTS, FOLLOW_UPS, SOURCES, "\n---")]
+    end = F.coalesce(F.least(*ends), F.length("body") + 1)
+    bare = lambda x: F.regexp_replace(x, "^\\s+|\\s+$", "")
+    moved, tail = bare(F.substr("body", at, end - at)), F.regexp_replace(F.substr("body", end), "^\\s+", "")
+    kept = F.concat(F.regexp_replace(F.substr("body", F.lit(1), at - 1), "\\s+$", ""), F.lit("\n\n"), tail)
+    fresh = F.concat(F.lit(f"\n{SHORT} {new_short}\n\n{LONG}\n\n"), moved, F.lit("\n\n"), tail)
+    first = F.struct("number", "title", F.when(cut, kept).otherwise(F.col("body")).alias("body"), F.lit(0).alias("place"))
+    second = F.when(cut, F.struct(F.lit(new_number).alias("number"), F.lit(new_title).alias("title"), fresh.alias("body"), F.lit(1).alias("place")))
     others = [c for c in questions.columns if c not in ("number", "title", "body")]
     rows = questions.select(*others, F.explode(F.array_compact(F.array(first, second))).alias("q"))
     return rows.select(*others, "q.number", "q.title", "q.body", "q.place")

@@ -11,6 +11,7 @@ from folioforge.functions import text as T
 from folioforge.operators import vectors as V
 
 MISSING = "не найдено"
+MOST_REFS = 10_000
 UNKNOWN_YEAR = "неизвестен"
 
 
@@ -50,17 +51,22 @@ def year_filter(year: str, low: int | None = None, high: int | None = None) -> C
 
 
 def hits(vectors: DataFrame, documents: DataFrame, chunks: DataFrame, query: list[float], k: int = 8, paper: str | None = None, year_min: int | None = None, year_max: int | None = None) -> DataFrame:
-    """Ranked passages; filters are applied before ranking, missing documents leave their fields empty."""
+    """Ranked passages; filters are applied before ranking, missing documents leave their fields empty.
+
+    The k best are found first; documents and texts are then read by their keys,
+    which reach the scans as filters, and no table is shuffled.
+    """
     where = None
     for part in (paper_filter(F.col("filename"), paper), year_filter("year", year_min, year_max)):
         where = part if where is None else where & part if part is not None else where
     keep = ["doc_id", "chunk_index", "cite_key", "filename", "year", "page_start", "page_end", "section"]
     best = V.top_k(vectors, "embedding", query, k, ["doc_id", "chunk_index"], where, keep)
-    about = documents.select("doc_id", "title", "authors")
-    texts = chunks.select("doc_id", "chunk_index", "text")
-    # The k hits are the small side of both joins.
-    rows = about.join(F.broadcast(best), "doc_id", "right")
-    rows = texts.join(F.broadcast(rows), ["doc_id", "chunk_index"], "right")
+    found = best.collect()
+    ids = sorted({r["doc_id"] for r in found})
+    about = documents.filter(F.col("doc_id").isin(ids)).select("doc_id", "title", "authors")
+    texts = chunks.filter(F.col("doc_id").isin(ids) & F.col("chunk_index").isin(sorted({r["chunk_index"] for r in found}))).select("doc_id", "chunk_index", "text")
+    rows = vectors.sparkSession.createDataFrame(found, best.schema)
+    rows = rows.join(F.broadcast(about), "doc_id", "left").join(F.broadcast(texts), ["doc_id", "chunk_index"], "left")
     return rows.select(
         "rank", "score", "doc_id", F.coalesce("cite_key", F.lit("")).alias("cite_key"), T.citation(F.col("authors"), F.col("year"), F.col("filename")).alias("citation"),
         "filename", F.coalesce("title", F.lit("")).alias("title"), F.nullif("year", F.lit(0)).alias("year"), "page_start", "page_end", F.coalesce("section", F.lit("")).alias("section"), "text")
@@ -73,12 +79,12 @@ def keyword_matches(chunks: DataFrame, term: str) -> DataFrame:
 
 def keyword_search(chunks: DataFrame, documents: DataFrame, term: str, limit: int | None = 50, paper: str | None = None) -> DataFrame:
     """doc_id, cite_key, filename, year, title, hits (chunks), page, snippet: documents by hits, then year."""
-    found = keyword_matches(chunks, term).groupBy("doc_id").agg(
-        F.count("*").alias("hits"), F.min("page_start").alias("low"), F.min_by(F.struct("text", "page_start"), "chunk_index").alias("first"))
+    matches = keyword_matches(chunks, term).select("doc_id", "chunk_index", "page_start", T.snippet(F.col("text"), term).alias("snippet"))
+    found = matches.groupBy("doc_id").agg(F.count("*").alias("hits"), F.min("page_start").alias("low"), F.min_by(F.struct("snippet", "page_start"), "chunk_index").alias("first"))
     docs = documents.select("doc_id", "cite_key", "filename", "year", "title")
     where = paper_filter(F.col("filename"), paper)
     rows = found.join(docs.filter(where) if where is not None else docs, "doc_id").select(
-        "doc_id", "cite_key", "filename", "year", "title", "hits", F.coalesce("first.page_start", "low").alias("page"), T.snippet(F.col("first.text"), term).alias("snippet"))
+        "doc_id", "cite_key", "filename", "year", "title", "hits", F.coalesce("first.page_start", "low").alias("page"), F.col("first.snippet").alias("snippet"))
     if limit is None:
         return rows
     return rows.orderBy(F.desc("hits"), F.desc_nulls_last("year"), "doc_id").limit(limit)
@@ -96,14 +102,20 @@ def page_range(pages: str) -> tuple[int, int]:
     return low, int(rest[0]) if rest and rest[0].strip() else low
 
 
-def read_pages(chunks: DataFrame, pages: str | None = None) -> DataFrame:
-    """doc_id, pieces, characters, text of the chunks on the pages, in order."""
-    if pages is not None:
-        low, high = page_range(pages)
-        chunks = chunks.filter((F.least("page_start", "page_end") <= high) & (F.greatest("page_start", "page_end") >= low))
-    parts = chunks.filter("text IS NOT NULL").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))).alias("p"))
-    text = F.array_join(F.transform("p", lambda x: x["text"]), "\n\n")
-    return parts.select("doc_id", F.size("p").alias("pieces"), F.length(text).alias("characters"), text.alias("text"))
+def read_pages(pages: DataFrame, wanted: str | None = None) -> DataFrame:
+    """doc_id, page, text of the pages (doc_id, page, blocks) in a range, one row each."""
+    if wanted is not None:
+        low, high = page_range(wanted)
+        pages = pages.filter(F.col("page").between(low, high))
+    return pages.select("doc_id", "page", F.array_join("blocks", "\n\n").alias("text"))
+
+
+def lookup(documents: DataFrame, doc_id: int | None = None, sha256: str | None = None, path: str | None = None) -> DataFrame:
+    """The documents that have all the given identifiers."""
+    for name, value in (("doc_id", doc_id), ("sha256", sha256), ("path", path)):
+        if value is not None:
+            documents = documents.filter(F.col(name) == value)
+    return documents
 
 
 def bibliography(documents: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -167,9 +179,11 @@ def top_first_authors(documents: DataFrame, most: int = 10) -> DataFrame:
 def resolve(documents: DataFrame, refs: DataFrame) -> DataFrame:
     """ref, doc_id, tier: by number, else by exact file name or key, else by part of file name, key or title.
 
-    ``refs`` is a small table of what users typed.  A number that is no document
-    has no candidates.
+    ``refs`` is a table of what users typed, ``MOST_REFS`` at most, as parts of
+    names are looked for row by row.  A number that is no document has no candidates.
     """
+    if refs.limit(MOST_REFS + 1).count() > MOST_REFS:
+        raise ValueError(f"more than {MOST_REFS} references at once")
     docs = documents.select("doc_id", "filename", "cite_key", "title")
     number = F.col("ref").rlike("^[0-9]+$")
     by_number = docs.join(F.broadcast(refs.filter(number)), F.col("doc_id") == F.expr("try_cast(ref as bigint)")).select("ref", "doc_id", F.lit(1).alias("tier"))

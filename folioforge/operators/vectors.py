@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-QUERY_BLOCK = 1_000
+QUERY_BLOCK = 20_000
 
 
 def valid(vector: str, dim: int | None = None) -> Column:
@@ -29,57 +29,127 @@ def cosine(vector: str, query: list[float]) -> Column:
     return dot / (own * norm)
 
 
+def _rounded(s: np.ndarray) -> np.ndarray:
+    """Scores in units of the fourth decimal place, halves up."""
+    return np.floor(np.round(s, 12) * 1e4 + 0.5).astype(np.int64)
+
+
 def top_k(df: DataFrame, vector: str, query: list[float], k: int, keys: list[str], where: Column | None = None, keep: list[str] | None = None) -> DataFrame:
-    """The k most similar rows: filters first, then score, then rank; equal rows count once, ties go by key."""
+    """The k most similar rows: filters first, then score, then rank; equal rows count once, ties go by key.
+
+    Every task keeps k rows at most, so what is shuffled is tasks x k rows.
+    """
     if where is not None:
         df = df.filter(where)
-    scored = df.filter(valid(vector, len(query))).select(*(keep or keys), F.round(cosine(vector, query), 4).alias("score")).distinct()
-    best = scored.orderBy(F.desc("score"), *keys).limit(k)
+    q = np.array(query, dtype=np.float64)
+    q /= np.linalg.norm(q)
+    columns = keep or keys
+    order = [("score", "descending"), *[(c, "ascending") for c in keys]]
+    narrow = df.filter(valid(vector, len(query))).select(*columns, F.col(vector).alias("_v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.stack(batch.column("_v").to_numpy(zero_copy_only=False)).astype(np.float64)
+            units = _rounded(x @ q / np.linalg.norm(x, axis=1))
+            least = best.column("score")[-1].as_py() * 1e4 - 0.5 if best is not None and best.num_rows == k else -np.inf
+            at = np.flatnonzero(units >= least)
+            if not len(at):
+                continue
+            rows = pa.Table.from_batches([batch.select(columns).take(pa.array(at))]).append_column("score", pa.array(units[at] / 1e4))
+            rows = rows if best is None else pa.concat_tables([best, rows])
+            best = rows.group_by(rows.column_names).aggregate([]).select(rows.column_names).sort_by(order).slice(0, k)
+        if best is not None:
+            yield from best.combine_chunks().to_batches()
+
+    fields = ", ".join(f"{c} {narrow.schema[c].dataType.simpleString()}" for c in columns)
+    best = narrow.mapInArrow(run, fields + ", score double").distinct().orderBy(F.desc("score"), *keys).limit(k)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), *keys)))
 
 
+class _Best:
+    """The k best different keys of every query, ties to the smaller key."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.q, self.units, self.keys = k, np.zeros(0, np.int64), np.zeros(0, np.int64), None
+
+    def add(self, q: np.ndarray, units: np.ndarray, keys: np.ndarray) -> None:
+        if self.keys is not None:
+            q, units, keys = np.concatenate((self.q, q)), np.concatenate((self.units, units)), np.concatenate((self.keys, keys))
+        order = np.lexsort((-units, keys, q))
+        q, units, keys = q[order], units[order], keys[order]
+        once = np.concatenate(([True], (q[1:] != q[:-1]) | (keys[1:] != keys[:-1])))
+        q, units, keys = q[once], units[once], keys[once]
+        order = np.lexsort((keys, -units, q))
+        q, units, keys = q[order], units[order], keys[order]
+        first = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1])))
+        rank = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+        self.q, self.units, self.keys = q[rank < self.k], units[rank < self.k], keys[rank < self.k]
+
+
 def batch_top_k(df: DataFrame, vector: str, key: str, queries: DataFrame, query_key: str, query_vector: str, k: int, block: int = QUERY_BLOCK) -> DataFrame:
     """query_key, key, score, rank: the k most similar keys of every query.
 
-    Queries are gathered in blocks of ``block`` (a fixed size); every task scores
-    its rows against a block with one matrix product and keeps k of them, so what
-    is shuffled is queries x tasks x k rows.
+    One pass over the table serves ``block`` queries, sent to the tasks as a
+    broadcast of that size; every task scores its rows against them by matrix
+    products and keeps k of them for each query, so what is shuffled is queries x
+    tasks x k rows.
     """
     rows = queries.filter(valid(query_vector)).select(query_key, query_vector).dropDuplicates([query_key]).orderBy(query_key).toLocalIterator()
     key_kind, query_kind = df.schema[key].dataType.simpleString(), queries.schema[query_key].dataType.simpleString()
-    spark, blocks, ids, data = df.sparkSession, [], [], []
+    spark, sent, ids, data = df.sparkSession, [], [], []
+
+    def send() -> None:
+        q = np.array(data, dtype=np.float64)
+        sent.append((q.shape[1], spark.sparkContext.broadcast((list(ids), q / np.linalg.norm(q, axis=1, keepdims=True)))))
+        ids.clear()
+        data.clear()
+
     for row in rows:
         ids.append(row[0])
         data.append(row[1])
         if len(ids) == block:
-            blocks.append((ids, np.array(data, dtype=np.float64)))
-            ids, data = [], []
+            send()
     if ids:
-        blocks.append((ids, np.array(data, dtype=np.float64)))
+        send()
     schema = f"q {query_kind}, id {key_kind}, score double"
     query_type, key_type = to_arrow_type(queries.schema[query_key].dataType), to_arrow_type(df.schema[key].dataType)
     result = spark.createDataFrame([], schema)
-    for ids, q in blocks:
-        q = q / np.linalg.norm(q, axis=1, keepdims=True)
+    for dim, shared in sent:
 
-        def run(batches: Iterator[pa.RecordBatch], ids: list = ids, q: np.ndarray = q) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, q = shared.value
+            best = _Best(len(names), k)
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                x = np.stack(batch.column("v").to_numpy(zero_copy_only=False)).astype(np.float64)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
                 own = np.array(batch.column("id").to_pylist())
-                s = np.round(q @ x.T, 12)
-                take = min(2 * k, len(own))
-                at = np.argpartition(-s, take - 1, axis=1)[:, :take]
-                # Rows as good as the last one taken stay, so that ties are broken by key later.
-                last = np.take_along_axis(s, at, 1).min(1)
-                a, b = np.nonzero(s >= np.floor(last[:, None] * 1e4) / 1e4) if take < len(own) else np.nonzero(np.ones_like(s, dtype=bool))
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in a], query_type), pa.array(own[b], key_type), pa.array(s[a, b])], ["q", "id", "score"])
-
-        narrow = df.filter(valid(vector, q.shape[1])).select(F.col(key).alias("id"), F.col(vector).alias("v"))
+                order = np.argsort(own, kind="stable")
+                x = np.stack(batch.column("v").to_numpy(zero_copy_only=False)).astype(np.float64)[order]
+                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                own = own[order]
+                _, once = np.unique(own, return_index=True) if len(np.unique(own)) < len(own) else (None, None)
+                n = len(own)
+                for low in range(0, len(q), 500):
+                    units = _rounded(q[low : low + 500] @ x.T)
+                    # A repeated key counts once, with its best score.
+                    if once is not None:
+                        units = np.maximum.reduceat(units, once, axis=1)
+                    keys = own if once is None else own[once]
+                    m = units.shape[1]
+                    take = min(k, m)
+                    mixed = units * n + (n - 1 - np.arange(m))  # equal scores: the smaller key first
+                    at = np.argpartition(-mixed, take - 1, axis=1)[:, :take]
+                    who = np.repeat(np.arange(low, low + len(units)), take)
+                    best.add(who, np.take_along_axis(units, at, 1).ravel(), keys[at.ravel()])
+            if best.keys is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in best.q], query_type), pa.array(best.keys, key_type), pa.array(best.units / 1e4)], ["q", "id", "score"])
+
+        narrow = df.filter(valid(vector, dim)).select(F.col(key).alias("id"), F.col(vector).alias("v"))
         result = result.unionByName(narrow.mapInArrow(run, schema))
-    once = result.groupBy("q", "id").agg(F.round(F.max("score"), 4).alias("score"))
+    once = result.groupBy("q", "id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("q").orderBy(F.desc("score"), "id")
     best = once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return best.select(F.col("q").alias(query_key), F.col("id").alias(key if key != query_key else "neighbour"), "score", "rank")

@@ -43,8 +43,10 @@ def new_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def replaced_documents(spark: SparkSession, d: str) -> DataFrame:
-    known, files = _snapshots(spark, d)
-    return I.replaced(known, files).select("doc_id", "path")
+    """As if the files of partial documents had been delivered anew, with other content."""
+    docs = table(spark, d, "documents")
+    files = docs.select("path", F.when(F.col("status") == "partial", F.reverse("sha256")).otherwise(F.col("sha256")).alias("sha256"))
+    return I.replaced(docs, files).select("doc_id", "path")
 
 
 def missing_documents(spark: SparkSession, d: str) -> DataFrame:
@@ -104,7 +106,8 @@ def chunk_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def index_gaps(spark: SparkSession, d: str) -> DataFrame:
-    return Q.index_gaps(table(spark, d, "chunks"))
+    """Once chunks without a page are taken out."""
+    return Q.index_gaps(table(spark, d, "chunks").filter("page_start IS NOT NULL"))
 
 
 def check_report(spark: SparkSession, d: str) -> DataFrame:
@@ -200,7 +203,7 @@ ORACLE = {
     "doi_classes": """SELECT doc_id, doi, class, links FROM (SELECT doc_id, doi, min(doc_id) OVER (PARTITION BY doi) AS class, count(*) OVER (PARTITION BY doi) - count(*) OVER (PARTITION BY doi, sha256) AS links
  FROM documents WHERE doi IS NOT NULL AND doi <> '') WHERE links > 0""",
     "new_files": f"SELECT min(path) AS path, sha256 FROM {_files} WHERE sha256 NOT IN (SELECT sha256 FROM {_known} WHERE status <> 'error') GROUP BY sha256",
-    "replaced_documents": f"SELECT doc_id, path FROM {_known} k WHERE EXISTS (SELECT 1 FROM {_files} f WHERE f.path = k.path AND f.sha256 <> k.sha256)",
+    "replaced_documents": "SELECT doc_id, path FROM documents k WHERE EXISTS (SELECT 1 FROM documents f WHERE f.path = k.path AND CASE WHEN f.status = 'partial' THEN reverse(f.sha256) ELSE f.sha256 END <> k.sha256)",
     "missing_documents": "SELECT doc_id, filename FROM documents d WHERE NOT EXISTS (SELECT 1 FROM journal j WHERE j.source = d.filename)",
     "pruned_counts": """WITH k AS (SELECT doc_id FROM documents WHERE status = 'error') SELECT (SELECT count(*) FROM documents WHERE doc_id NOT IN (FROM k)) AS documents, (SELECT count(*) FROM chunks WHERE doc_id NOT IN (FROM k)) AS chunks,
  (SELECT count(*) FROM (SELECT DISTINCT doc_id, chunk_index FROM vectors WHERE doc_id NOT IN (FROM k))) AS vectors""",
@@ -218,7 +221,7 @@ ORACLE = {
     "stores_out_of_step": _step,
     "documents_without_chunks": _without,
     "chunk_sizes": _sizes,
-    "index_gaps": _gaps,
+    "index_gaps": _gaps.replace("FROM chunks", "FROM chunks WHERE page_start IS NOT NULL"),
     "check_report": " UNION ALL ".join([
         _row(1, "documents.status", "SELECT 1 FROM documents WHERE status <> 'ok'", "WARN"), _row(2, "documents.chunks", _without, "WARN"), _row(3, "integrity.sync", _step, "FAIL"),
         _row(4, "chunks.size", _sizes, "WARN"), _row(5, "chunks.dense", _gaps, "FAIL"), _row(6, "vectors.valid", f"SELECT 1 FROM vectors WHERE {_problem} <> 'ok'", "FAIL")]),

@@ -20,6 +20,9 @@ MARKDOWN = ["# Title", "", "one", "two", "- a", "- b", "", "| x | y |", "|---|--
 QUESTIONS = (
     "Preamble\n### Вопрос 1. Kilns\n**Коротко.** short\n**Развёрнуто.** long one\n**Ключевые цифры и имена.**\n| Факт | n |\n|---|---|\n| heat | 5 |\n**Уточняющие вопросы.**\n- *why?*\n**Источники.** A; B\n\n---\n"
     "### Вопрос 2. Pipes\n**Коротко.** brief\n**Развёрнуто.** long two\n**Ключевые цифры и имена.**\n| Факт | n |\n|---|---|\n| bore | 7 |\n**Уточняющие вопросы.**\n- *how?*\n**Источники.** C\n")
+LONG_QUESTION = (
+    "### Вопрос 1. Kilns\n**Коротко.** short\n**Развёрнуто.** long one\n\n**Pipes in kilns.**\nthey burst\n\n**Источники.** A; B\n\n---\n"
+    "### Вопрос 2. Oils\n**Коротко.** brief\n")
 SNAPSHOTS = ["backup-20240105-101500", "backup-20240107-080000", "backup-20240106-235959-dbonly", "backup-20231231-000000", "notes"]
 REGISTRY = [("main", "/data/Corpus/", "data-main", 8765), ("oils", "/data/oils", "data-oils", 8767)]
 ADDED = [("Main again", "/DATA/corpus", ), ("New: fuels", "/data/fuels/"), ("???", "/data/x")]
@@ -87,6 +90,10 @@ _kind = """CASE WHEN trim(line) = '' THEN 'blank' WHEN regexp_matches(trim(line)
 _split = f"string_split({_s(QUESTIONS)}, '### Вопрос ')"
 
 ORACLE = {
+    "formulas": """SELECT * FROM (VALUES (1, '(a+b)/μₘ'), (2, 'x² · y₁ → z'), (3, '√(2α) ≈ 109,2'), (4, 'no formula'), (5, 'rate = k*' || chr(10) || 'and Sₘₐₓ')) t(line_no, text)""",
+    "rtf_texts": """SELECT line_no, replace(text, '~', chr(10)) AS text FROM (VALUES (1, '  plain пр~~ nextж'), (2, ' bold  text~~'), (3, 'no markup')) t(line_no, text)""",
+    "captions_numbered": """SELECT line_no, replace(text, '~', chr(10)) AS text FROM (VALUES (1, '*Рисунок 1. First*~text~***Рисунок 2.** ** Second*~**Рисунок 3. ** third'), (2, 'nothing here'), (3, '*Рисунок 1. one*')) t(line_no, text)""",
+    "questions_merged": """SELECT number, title, replace(body, '~', chr(10)) AS body FROM (VALUES ('1', 'Kilns', '~**Коротко.** short~**Развёрнуто.** long one~~~**About pipes.**~~long two~~**Ключевые цифры и имена.**~| Факт | n |~|---|---|~| heat | 5 |~| bore | 7 |~~**Уточняющие вопросы.**~- *why?*~- *how?*~~**Источники.** A; B; C~~---~')) t(number, title, body)""",
     "topics_parsed": f"""WITH l(line_no, line) AS (VALUES {_numbered(TOPICS)}), s AS (SELECT line_no, trim(line) AS s FROM l WHERE trim(line) <> ''),
  m AS (SELECT *, CASE WHEN s LIKE '##%' AND s NOT LIKE '###%' THEN trim(ltrim(s, '#')) END AS sec, CASE WHEN s LIKE '###%' THEN trim(ltrim(s, '#')) WHEN s LIKE '##%' THEN '' END AS sub FROM s),
  f AS (SELECT *, last_value(sec IGNORE NULLS) OVER (ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS section, last_value(sub IGNORE NULLS) OVER (ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS subsection FROM m)

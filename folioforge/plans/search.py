@@ -72,10 +72,6 @@ def keyword_first_chunk(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("doc_id").agg(F.min("chunk_index").alias("chunk_index"), F.min_by("page_start", "chunk_index").alias("page_start"), F.min("page_start").alias("lowest_page"))
 
 
-def read_pages(spark: SparkSession, d: str) -> DataFrame:
-    return S.read_pages(table(spark, d, "chunks"), "2-3")
-
-
 def bib_list(spark: SparkSession, d: str) -> DataFrame:
     return S.bibliography(table(spark, d, "documents"))
 
@@ -110,7 +106,7 @@ def resolve_refs(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     knn_topk, knn_filtered_hits, knn_year_from, knn_paper_glob, knn_paper_part, batch_knn, keyword_hits, keyword_snippets, keyword_in_papers, keyword_total, keyword_first_chunk,
-    read_pages, bib_list, bib_markdown, documents_list, stats_by_year, stats_by_status, stats_totals, stats_top_authors, resolve_refs)}
+    bib_list, bib_markdown, documents_list, stats_by_year, stats_by_status, stats_totals, stats_top_authors, resolve_refs)}
 
 VALID = "embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
 W, L = T.W, T.NAME_LETTERS
@@ -178,8 +174,6 @@ ORACLE = {
  JOIN (SELECT doc_id FROM documents WHERE regexp_full_match(lower(filename), '.*_2024_.*')) USING (doc_id) WHERE {_has(TERM_EN)} GROUP BY doc_id""",
     "keyword_total": f"SELECT count(DISTINCT doc_id) AS documents, count(*) AS chunks FROM chunks WHERE {_has(TERM_RU)}",
     "keyword_first_chunk": f"SELECT doc_id, min(chunk_index) AS chunk_index, arg_min(struct_pack(p := page_start), chunk_index).p AS page_start, min(page_start) AS lowest_page FROM chunks WHERE {_has(TERM_EN)} GROUP BY doc_id",
-    "read_pages": """SELECT doc_id, CAST(count(*) AS INTEGER) AS pieces, CAST(length(string_agg(text, chr(10) || chr(10) ORDER BY chunk_index)) AS INTEGER) AS characters, string_agg(text, chr(10) || chr(10) ORDER BY chunk_index) AS text
- FROM chunks WHERE least(page_start, page_end) <= 3 AND greatest(page_start, page_end) >= 2 AND text IS NOT NULL GROUP BY doc_id""",
     "bib_list": _bib,
     "bib_markdown": f"SELECT n, CAST(n AS VARCHAR) || '. ' || authors || ' (' || year || '). ' || title || '. *' || journal || '*. DOI: ' || doi AS line FROM ({_bib})",
     "documents_list": "SELECT doc_id, cite_key, filename, title, authors, year, journal, doi, num_pages, status FROM documents",

@@ -25,7 +25,10 @@ def year_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def abstract_found(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", T.find_abstract(F.concat_ws(" ", F.lit("Abstract:"), "abstract", F.lit("Keywords: none"))).alias("abstract"))
+    """In first pages put together of title, abstract and text, headed in the language of the abstract."""
+    word = F.col("abstract").rlike("[А-Яа-я]")
+    told = F.when(F.col("abstract").isNotNull(), F.concat(F.when(word, "Аннотация. ").otherwise("ABSTRACT: "), "abstract", F.when(word, "\nКлючевые слова: нет").otherwise("\nKeywords: none")))
+    return table(spark, d, "documents").select("doc_id", T.find_abstract(F.concat_ws("\n", "title", told, "text")).alias("abstract"))
 
 
 def first_authors(spark: SparkSession, d: str) -> DataFrame:
@@ -120,7 +123,11 @@ _detect = f"""CASE WHEN length({_line}) > 90 THEN NULL
 _opened = f"""SELECT chunk_id, doc_id, chunk_index, list_filter(list_transform(string_split(text, chr(10)), lambda line: {_detect}), lambda s: s IS NOT NULL)[-1] AS opened FROM chunks"""
 _blocks = f"SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\\n{W}*\\n'), lambda p: {clean('p')}), lambda p: length(p) >= 2) AS b FROM documents WHERE text IS NOT NULL"
 
-_told = "regexp_extract(concat_ws(' ', 'Abstract:', abstract, 'Keywords: none'), '(?is)\\babstract\\b[: \\t\\r\\n]*(.+?)(?:\\bkeywords?\\b|\\b1\\.?\\s+introduction\\b|\\z)', 1)"
+_cyrillic = "regexp_matches(abstract, '[А-Яа-я]')"
+_first = f"""concat_ws(chr(10), title, CASE WHEN {_cyrillic} THEN 'Аннотация. ' ELSE 'ABSTRACT: ' END || abstract || CASE WHEN {_cyrillic} THEN chr(10) || 'Ключевые слова: нет' ELSE chr(10) || 'Keywords: none' END, text)"""
+_latin_told = f"regexp_extract({_first}, '(?is)\\babstract\\b[:{T.W[1:-1]}]*(.+?)(?:\\bkeywords?\\b|\\b1\\.?\\s+introduction\\b|\\z)', 1)"
+_edge = "(?:^|[^\\p{L}\\p{N}\\p{M}_])"
+_told = f"CASE WHEN {_latin_told} <> '' THEN {_latin_told} ELSE regexp_extract({_first}, '(?is){_edge}аннотация([^\\p{{L}}\\p{{N}}\\p{{M}}_].*?)(?:{_edge}ключевые слова(?:[^\\p{{L}}\\p{{N}}\\p{{M}}_]|\\z)|\\z)', 1) END"
 _abstract = strip(f"regexp_replace({_told}, '{W}+', ' ', 'g')")
 
 ORACLE = {
