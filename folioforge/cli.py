@@ -7,13 +7,17 @@ import json
 import sys
 
 from folioforge.engine import Engine, as_json
+from folioforge.operators import search as S
 from folioforge.session import local_session
+from folioforge.shared import cut
+from folioforge.sources import files, sinks, store
 from folioforge.sources.files import Config
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="folioforge")
     p.add_argument("--config")
+    p.add_argument("--json", action="store_true", help="plain values instead of lines to read")
     sub = p.add_subparsers(dest="command", required=True)
     c = sub.add_parser("ingest")
     c.add_argument("folder", nargs="?")
@@ -34,6 +38,16 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--pages")
     c = sub.add_parser("bib")
     c.add_argument("--keys")
+    c.add_argument("--out", help="folder that the bibliography is written to as markdown")
+    c = sub.add_parser("journal")
+    c.add_argument("--level", choices=["INFO", "WARN", "ERROR"])
+    c.add_argument("--tail", type=int, default=40)
+    c = sub.add_parser("batch")
+    c.add_argument("queries", help="JSON file of tagged questions")
+    c = sub.add_parser("add")
+    c.add_argument("registry")
+    c.add_argument("name")
+    c.add_argument("corpus")
     for name in ("list", "stats", "check"):
         sub.add_parser(name)
     c = sub.add_parser("backup")
@@ -60,6 +74,19 @@ def run(engine: Engine, a: argparse.Namespace):
         return as_json(engine.keyword(a.term, a.limit, a.paper))
     if c == "read":
         return as_json(engine.read(a.ref, a.pages))
+    if c == "journal":
+        return as_json(engine.journal(a.level, a.tail))
+    if c == "batch":
+        return {r["tag"]: json.loads(r["results"]) for r in engine.batch(files.queries(engine.spark, a.queries)).toLocalIterator()}
+    if c == "add":
+        fresh = engine.spark.createDataFrame([(a.name, a.corpus)], "name string, corpus string")
+        every = store.registered(files.registry(engine.spark, a.registry) if engine.store._fs.exists(engine.store._path(a.registry)) else engine.spark.createDataFrame([], "name string, corpus string, data string, port int"), fresh)
+        sinks.write_registry(cut(every, "registry"), a.registry)
+        return as_json(files.registry(engine.spark, a.registry))
+    if c == "bib" and a.out:
+        lines = engine.bibliography(a.keys.split(",") if a.keys else None).withColumn("line", S.bibliography_line())
+        sinks.write_lines(lines, a.out, ["n"])
+        return {"folder": a.out}
     if c == "bib":
         return as_json(engine.bibliography(a.keys.split(",") if a.keys else None))
     if c == "list":
@@ -75,6 +102,23 @@ def run(engine: Engine, a: argparse.Namespace):
     raise SystemExit(f"unknown command {c}")
 
 
+def readable(command: str, result) -> str:
+    """A result as lines."""
+    if command == "search":
+        return "\n".join(f"[{h['rank']}] {h['score'] * 100:.0f} % {h['citation']}, {h['filename']}, {h['page_start']}–{h['page_end']}\n    {h['text'] or ''}" for h in result)
+    if command == "keyword":
+        return "\n".join(f"{h['hits']:>5}  {h['filename']} ({h['year'] or '?'}), {h['page']}: {h['snippet']}" for h in result)
+    if command == "read":
+        return "\n\n".join(f"--- {p['page']}\n{p['text']}" for p in result)
+    if command == "check":
+        return "\n".join(f"[{r['status']:^4}] {r['stage']:<22} {r['detail']}" for r in result)
+    if command == "bib":
+        return "\n".join(f"{r['n']}. {r['authors']} ({r['year']}). {r['title']}. *{r['journal']}*. DOI: {r['doi']}" for r in result)
+    if command == "journal":
+        return "\n".join(f"{r['ts']} {r['level']:<5} {r['stage']} {r['source'] or ''}: {r['message']}" for r in result)
+    return json.dumps(result, ensure_ascii=False, indent=1, default=str)
+
+
 def main(args: list[str] | None = None) -> int:
     a = parser().parse_args(args)
     engine = Engine(local_session(), Config.load(a.config))
@@ -82,7 +126,9 @@ def main(args: list[str] | None = None) -> int:
         from folioforge import server
 
         return server.serve(engine, a.port) if a.command == "serve" else server.tools(engine, sys.stdin, sys.stdout)
-    print(json.dumps(run(engine, a), ensure_ascii=False, indent=1, default=str))
+    result = run(engine, a)
+    plain = a.json or isinstance(result, dict)
+    print(json.dumps(result, ensure_ascii=False, indent=1, default=str) if plain else readable(a.command, result))
     return 0
 
 

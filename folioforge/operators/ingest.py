@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.functions import text as T
+from folioforge.operators.search import numbered
 
 
 def content_duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -54,13 +55,14 @@ def remove(documents: DataFrame, chunks: DataFrame, vectors: DataFrame, victims:
 def disambiguated_keys(documents: DataFrame, taken: DataFrame | None = None) -> DataFrame:
     """doc_id, base, cite_key: the base, then with letters a to z, then with a number, by path.
 
-    ``taken`` holds cite_key values in use: their places are skipped.
+    ``taken`` holds cite_key values in use: their places are skipped.  Places come
+    from one global order, so that a base which a third of all rows share stays with no task.
     """
     base = T.cite_key(F.col("authors"), F.col("year"), F.col("title"), F.col("filename"))
     rows = documents.select("doc_id", "path", base.alias("base"))
-    order = Window.partitionBy("base").orderBy("path", "doc_id")
-    place = F.row_number().over(order)
-    rows = rows.withColumn("place", place - 1)
+    rows = numbered(rows, [F.asc("base"), F.asc("path"), F.asc("doc_id")], "at")
+    first = rows.groupBy("base").agg(F.min("at").alias("first"))
+    rows = rows.join(first, "base").withColumn("place", (F.col("at") - F.col("first")).cast("int")).drop("at", "first", "path")
     if taken is not None:
         used = taken.select(F.regexp_extract("cite_key", "^(.*(?:[0-9]{4}|ND))([a-z]?)$", 1).alias("base"), F.regexp_extract("cite_key", "^(.*(?:[0-9]{4}|ND))([a-z]?)$", 2).alias("s"))
         used = used.filter("base != ''").groupBy("base").agg(F.sort_array(F.collect_set(F.when(F.col("s") == "", 0).otherwise(F.ascii("s") - 96))).alias("used"))
@@ -90,3 +92,14 @@ def report(documents: DataFrame) -> DataFrame:
     return documents.agg(
         F.count("*").alias("total"), n("ok").alias("ok"), n("partial").alias("partial"), n("ocr_skipped").alias("ocr_skipped"), n("error").alias("errors"),
         F.count_distinct("sha256").alias("contents"), F.max("added_at").alias("last_added"))
+
+
+def read_status(documents: DataFrame, pages: DataFrame) -> DataFrame:
+    """doc_id, num_pages, status, ocr_pages, ocr_needed_pages from the pages read."""
+    text = F.array_join(F.transform("blocks", lambda b: T.strip(b)), "")
+    read = pages.groupBy("doc_id").agg(
+        F.count("*").alias("num_pages"), F.count_if(text != "").alias("full"), F.count_if("used_ocr").alias("ocr_pages"), F.count_if("ocr_needed").alias("ocr_needed_pages"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    rows = documents.select("doc_id").join(read, "doc_id", "left")
+    return rows.select(
+        "doc_id", zero("num_pages").cast("int").alias("num_pages"), status_of(zero("full") > 0, zero("ocr_needed_pages"), F.lit(0)).alias("status"), zero("ocr_pages").alias("ocr_pages"), zero("ocr_needed_pages").alias("ocr_needed_pages"))

@@ -66,8 +66,22 @@ def local_path(path: str) -> str:
     return parsed.path if parsed.scheme == "file" else path
 
 
+def clean(spark: SparkSession) -> None:
+    """Remove every table that this session wrote to the shared folder; frames read from them end with it."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 @atexit.register
 def _clean() -> None:
+    spark = SparkSession.getActiveSession()
+    try:
+        if spark is not None and spark.sparkContext._jsc is not None:
+            clean(spark)
+    except Exception:  # the session ended first
+        pass
     for path in _made:
         if urlparse(path).scheme in ("", "file"):
             shutil.rmtree(local_path(path), ignore_errors=True)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from folioforge.functions import markup as M
 from folioforge.functions import text as T
 from folioforge.operators import chunking as C
+from folioforge.shared import cut
 
 FORMATS = ("pdf", "txt", "md", "rtf")
 JOURNAL = "ts timestamp, session string, stage string, level string, source string, message string"
@@ -39,29 +40,26 @@ def decode(raw: bytes | None) -> str | None:
     return raw.decode("latin-1")
 
 
-PageReader = Callable[[bytes], list[tuple[int, list[str], bool, bool]]]
+#: Content of a PDF file to its pages: (page, blocks), a block (x, y, text, kind), kind 0 a text.
+PageReader = Callable[[bytes], list[tuple[int, list[tuple[float, float, str, int]]]]]
+#: Content and page number to the recognised text.
+Recogniser = Callable[[bytes, int], str]
+#: Content to (title, author, spans of the first page as (size, y, height, text)).
+InfoReader = Callable[[bytes], tuple[str | None, str | None, list[tuple[float, float, float, str]]]]
+BLOCK = "struct<x: double, y: double, text: string, kind: int>"
 
 
-def texts(files: DataFrame, read_pdf: PageReader | None = None) -> DataFrame:
-    """path, text, error of the text formats and, with a reader, of PDF files.
-
-    ``read_pdf`` maps content to (page, blocks, by recognition, recognition
-    needed); without one, PDF files get an error and no text.  A failing file
-    fails alone.
-    """
+def texts(files: DataFrame) -> DataFrame:
+    """path, text, error of the text formats.  A failing file fails alone; other formats get an error and no text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, errors = [], []
             for kind, raw in zip(batch.column("extension").to_pylist(), batch.column("content").to_pylist()):
                 try:
-                    if kind == "pdf":
-                        if read_pdf is None:
-                            raise ValueError("no reader for PDF files")
-                        text = "\n\n".join(b for _, blocks, _, _ in read_pdf(raw) for b in blocks)
-                    else:
-                        text = M.rtf_text(decode(raw)) if kind == "rtf" else decode(raw)
-                    out.append(text)
+                    if kind not in FORMATS[1:]:
+                        raise ValueError(f"no text format: {kind}")
+                    out.append(M.rtf_text(decode(raw)) if kind == "rtf" else decode(raw))
                     errors.append(None)
                 except Exception as e:
                     out.append(None)
@@ -71,27 +69,88 @@ def texts(files: DataFrame, read_pdf: PageReader | None = None) -> DataFrame:
     return files.select("path", "extension", "content").mapInArrow(run, "path string, text string, error string")
 
 
-def pages(files: DataFrame, read_pdf: PageReader | None = None, least_chars: int = 30) -> DataFrame:
-    """path, page, blocks, used_ocr, ocr_needed: pages of PDF files and pseudo-pages of texts."""
-    plain = texts(files.filter("extension != 'pdf'")).filter("text IS NOT NULL")
-    out = C.paginate(plain, "path", "text").select("path", "page", "blocks", F.lit(False).alias("used_ocr"), F.lit(False).alias("ocr_needed"))
-    if read_pdf is None:
-        return out
+def page_blocks(blocks: Column) -> Column:
+    """Paragraphs of a page from its blocks (x, y, text, kind): texts only, from top to bottom, cleaned, of two characters or more."""
+    own = F.filter(blocks, lambda b: b["kind"] == 0)
+    placed = F.array_sort(F.transform(own, lambda b, i: F.struct(b["y"].alias("y"), b["x"].alias("x"), i.alias("i"), b["text"].alias("text"))))
+    return F.filter(F.transform(placed, lambda b: T.clean_block(b["text"])), lambda t: F.length(t) >= 2)
+
+
+def pages(files: DataFrame, read_pdf: PageReader | None = None, least_chars: int = 30, recognise: Recogniser | None = None) -> DataFrame:
+    """path, page, blocks, used_ocr, ocr_needed, error: pages of PDF files and pseudo-pages of texts.
+
+    A page of less than ``least_chars`` characters is recognised where that can be
+    done, else it is marked; a page that cannot be recognised fails alone, and so
+    does a file that cannot be read (one empty page with the error).
+    """
+    plain = texts(files.filter("extension != 'pdf'"))
+    flags = [F.lit(False).alias("used_ocr"), F.lit(False).alias("ocr_needed")]
+    out = C.paginate(plain.filter("text IS NOT NULL"), "path", "text").select("path", "page", "blocks", *flags, F.lit(None).cast("string").alias("error"))
+    failed = plain.filter("text IS NULL").select("path", F.lit(1).alias("page"), F.array().cast("array<string>").alias("blocks"), *flags, "error")
+    scans = files.filter("extension = 'pdf'").select("path", "content")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64()), ("text", pa.string()), ("kind", pa.int32())]))
+        for batch in batches:
+            rows: list[tuple] = []
+            for path, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                try:
+                    if read_pdf is None:
+                        raise ValueError("no reader for PDF files")
+                    rows += [(path, n, [{"x": x, "y": y, "text": t, "kind": k} for x, y, t, k in blocks], None) for n, blocks in read_pdf(raw)]
+                except Exception as e:
+                    rows.append((path, 1, [], f"{type(e).__name__}: {e}"))
+            cols = list(zip(*rows)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int32(), kind, pa.string()))], ["path", "page", "raw", "error"])
+
+    read_ = cut(scans.mapInArrow(read, f"path string, page int, raw array<{BLOCK}>, error string"), "pdf-pages").withColumn("blocks", page_blocks(F.col("raw")))
+    empty = (F.length(F.array_join("blocks", "\n\n")) < least_chars) & F.col("error").isNull()
+    columns = ["path", "page", "blocks", "used_ocr", "ocr_needed", "error"]
+    if recognise is None:
+        return out.unionByName(failed).unionByName(read_.select("path", "page", "blocks", F.lit(False).alias("used_ocr"), empty.alias("ocr_needed"), "error"))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            said: list[str | None] = []
+            for raw, n in zip(batch.column("content").to_pylist(), batch.column("page").to_pylist()):
+                try:
+                    said.append(recognise(raw, n) or "")
+                except Exception:
+                    said.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("page"), pa.array(said, pa.string())], ["path", "page", "said"])
+
+    # Pages, not files, are dealt to the tasks.
+    todo = read_.filter(empty).select("path", "page").repartition("path", "page").join(scans, "path")
+    looked = todo.mapInArrow(look, "path string, page int, said string").withColumn("found", C.paragraphs(F.col("said"))).withColumn("looked", F.lit(True))
+    done = read_.join(looked, ["path", "page"], "left").select(
+        "path", "page", F.when(F.size("found") > 0, F.col("found")).otherwise(F.col("blocks")).alias("blocks"), F.coalesce(F.size("found") > 0, F.lit(False)).alias("used_ocr"),
+        (F.col("looked").isNotNull() & F.col("said").isNull()).alias("ocr_needed"), "error")
+    return out.unionByName(failed).unionByName(done.select(*columns))
+
+
+def document_info(files: DataFrame, read_info: InfoReader | None) -> DataFrame:
+    """path, title, authors that PDF files tell of themselves; failing files tell nothing."""
+    schema = "path string, title string, authors string, spans array<struct<size: double, y: double, height: double, text: string>>"
+    if read_info is None:
+        return files.sparkSession.createDataFrame([], "path string, title string, authors string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("size", pa.float64()), ("y", pa.float64()), ("height", pa.float64()), ("text", pa.string())]))
         for batch in batches:
-            rows = []
+            rows: list[tuple] = []
             for path, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
                 try:
-                    rows += [(path, n, b, ocr, need or (not ocr and sum(map(len, b)) < least_chars)) for n, b, ocr, need in read_pdf(raw)]
+                    title, author, spans = read_info(raw)
+                    rows.append((path, title, author, [dict(zip(("size", "y", "height", "text"), x)) for x in spans]))
                 except Exception:
-                    rows.append((path, 1, [], False, True))
-            cols = list(zip(*rows)) if rows else [[]] * 5
-            kinds = [pa.string(), pa.int32(), pa.list_(pa.string()), pa.bool_(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["path", "page", "blocks", "used_ocr", "ocr_needed"])
+                    rows.append((path, None, None, []))
+            cols = list(zip(*rows)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.string(), kind))], ["path", "title", "authors", "spans"])
 
-    scanned = files.filter("extension = 'pdf'").select("path", "content")
-    return out.unionByName(scanned.mapInArrow(run, "path string, page int, blocks array<string>, used_ocr boolean, ocr_needed boolean"))
+    told = cut(files.filter("extension = 'pdf'").select("path", "content").mapInArrow(run, schema), "info")
+    layout = layout_title(told.select(F.col("path").alias("doc_id"), F.explode("spans").alias("s")).select("doc_id", "s.*"))
+    rows = told.join(layout.select(F.col("doc_id").alias("path"), F.col("title").alias("_layout")), "path", "left")
+    return rows.select("path", F.coalesce(usable_title(F.col("title")), F.col("_layout")).alias("title"), usable_author(F.col("authors")).alias("authors"))
 
 
 def layout_title(spans: DataFrame) -> DataFrame:
@@ -136,6 +195,12 @@ def append_journal(records: DataFrame, path: str) -> None:
     records.write.mode("append").json(path)
 
 
+def tail_lines(spark: SparkSession, path: str, last: int = 40) -> DataFrame:
+    """line_no, line of the last lines of a text file."""
+    own = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
+    return own.orderBy(F.desc("line_no")).limit(last).select("line_no", F.col("value").alias("line")).orderBy("line_no")
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """line_no, line of one text file."""
     text = spark.read.text(path, wholetext=True)
@@ -170,6 +235,7 @@ class Config:
     min_chars_per_page: int = 30
     backup_keep: int = 5
     backup_hours: float = 12.0
+    batch_size: int = 512
     extra: dict = field(default_factory=dict)
 
     @classmethod
@@ -195,4 +261,13 @@ class Config:
             found.append("overlap_tokens must be below chunk_tokens")
         if self.default_k <= 0:
             found.append("default_k must be positive")
+        if self.batch_size <= 0:
+            found.append("batch_size must be positive")
         return found
+
+    def checks(self, exists: Callable[[str], bool] = os.path.isdir) -> list[tuple[str, str, str]]:
+        """stage, status, detail of the settings and the corpus folder."""
+        bad = self.problems()
+        found = [("config", "FAIL", b) for b in bad] or [("config", "OK", f"chunk={self.chunk_tokens}, overlap={self.overlap_tokens}, k={self.default_k}, batch={self.batch_size}")]
+        there = exists(self.corpus_dir)
+        return [*found, ("config.corpus", "OK" if there else "WARN", self.corpus_dir if there else f"no folder {self.corpus_dir}")]

@@ -11,50 +11,83 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import text as T
 
-TABLES = ("documents", "chunks", "vectors")
+TABLES = ("documents", "pages", "chunks", "vectors")
 DOCUMENTS = (
     "doc_id bigint, filename string, path string, sha256 string, cite_key string, title string, authors string, year int, journal string, doi string, abstract string,"
     " num_pages int, status string, added_at timestamp")
 CHUNKS = "doc_id bigint, chunk_index int, text string, page_start int, page_end int, section string"
 VECTORS = "doc_id bigint, chunk_index int, embedding array<float>, cite_key string, filename string, year int, page_start int, page_end int, section string"
-SCHEMAS = {"documents": DOCUMENTS, "chunks": CHUNKS, "vectors": VECTORS}
+PAGES = "doc_id bigint, page int, blocks array<string>, used_ocr boolean, ocr_needed boolean"
+SCHEMAS = {"documents": DOCUMENTS, "pages": PAGES, "chunks": CHUNKS, "vectors": VECTORS}
 STAMP = r"(\d{8}-\d{6})"
 
 
 class Store:
-    """Three tables below one folder; every table is a series of versions, one of them current.
+    """The corpus tables below one folder; every table is a series of states, the highest of which is current.
 
-    A version is written whole before the pointer moves to it, so readers see the
-    old state or the new one; appends go to a new version that lists the old
-    files' folder as well.
+    A state is a numbered file that lists the folders a table is made of.  A new one
+    is written whole under another name and then renamed to the next number, so
+    readers see the old state or the new one, and of two writers one fails.  Old
+    states and folders stay for ``KEPT`` further states, for readers that still use
+    them.  A store can be used in a ``with`` statement.
     """
 
+    KEPT = 3
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.open = True
 
-    def _pointer(self, table: str):
-        return self._path(f"{self.root}/{table}/_current")
+    def __enter__(self) -> Store:
+        return self
 
-    def folders(self, table: str) -> list[str]:
-        """Folders that make up the table's current state."""
-        if not self._fs.exists(self._pointer(table)):
-            return []
-        stream = self._fs.open(self._pointer(table))
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    def close(self) -> None:
+        """No further reading or writing through this object."""
+        self.open = False
+
+    def _states(self, table: str) -> list[int]:
+        """Numbers of a table's states, the current one last."""
+        if not self.open:
+            raise RuntimeError("the store is closed")
+        folder = self._path(f"{self.root}/{table}")
+        names = [s.getPath().getName() for s in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        return sorted(int(n[7:]) for n in names if n.startswith("_state-"))
+
+    def _state(self, table: str, number: int) -> list[str]:
+        stream = self._fs.open(self._path(f"{self.root}/{table}/_state-{number:09d}"))
         try:
             return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
+    def folders(self, table: str) -> list[str]:
+        """Folders that make up the table's current state."""
+        states = self._states(table)
+        return self._state(table, states[-1]) if states else []
+
     def _point(self, table: str, folders: list[str]) -> None:
+        states = self._states(table)
         fresh = self._path(f"{self.root}/{table}/_next-{uuid.uuid4().hex}")
         out = self._fs.create(fresh, True)
         out.write(bytearray(json.dumps(folders).encode()))
         out.close()
-        self._fs.delete(self._pointer(table), False)
-        self._fs.rename(fresh, self._pointer(table))
+        number = states[-1] + 1 if states else 1
+        if not self._fs.rename(fresh, self._path(f"{self.root}/{table}/_state-{number:09d}")):
+            self._fs.delete(fresh, False)
+            raise RuntimeError(f"another writer has changed {table}")
+        old = states[: -self.KEPT]
+        if old:
+            used = {f for n in states[-self.KEPT :] for f in self._state(table, n)} | set(folders)
+            for n in old:
+                for folder in set(self._state(table, n)) - used:
+                    self._fs.delete(self._path(folder), True)
+                self._fs.delete(self._path(f"{self.root}/{table}/_state-{n:09d}"), False)
 
     def read(self, table: str) -> DataFrame:
         folders = self.folders(table)

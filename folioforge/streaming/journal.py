@@ -12,8 +12,9 @@ from folioforge.shared import new_path
 def hourly_counts(spark: SparkSession, files: str, schema: StructType, lateness: str = "400 days") -> DataFrame:
     """start, stage, n: records per hour and stage, read as a stream until all present files are taken.
 
-    Rows arriving later than ``lateness`` behind the newest are left out by the
-    watermark; its default is longer than any delay of the journal.
+    Rows arriving later than ``lateness`` behind the newest are left out, and hours
+    before it leave the state; the default is longer than any delay of the journal.
+    Every batch gives the counts that it changed, the last one of an hour stands.
     """
     out, state = new_path(spark, "hourly"), new_path(spark, "hourly-state")
     stream = spark.readStream.schema(schema).parquet(files).withWatermark("ts", lateness)
@@ -21,11 +22,12 @@ def hourly_counts(spark: SparkSession, files: str, schema: StructType, lateness:
     rows = counted.select(F.col("window.start").alias("start"), "stage", "n")
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/part-{number}")
 
-    query = rows.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", state).trigger(availableNow=True).start()
+    query = rows.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema("start timestamp, stage string, n bigint").parquet(out)
+    given = spark.read.schema("start timestamp, stage string, n bigint, batch int").option("recursiveFileLookup", "true").parquet(out)
+    return given.groupBy("start", "stage").agg(F.max_by("n", "batch").alias("n"))
 
 
 def deduplicated(spark: SparkSession, files: str, schema: StructType, lateness: str = "7 days") -> DataFrame:

@@ -112,10 +112,37 @@ def test_formulas_and_rtf():
 
 
 def test_questions(spark):
-    text = "P\n### Вопрос 1. A\n**Развёрнуто.** x\n**Источники.** S.\n### Вопрос 2. B\n**Развёрнуто.** y\nSub\nz\n**Источники.** T\n"
+    text = "P\n### Вопрос 1. A\n**Развёрнуто.** x\n**Источники.** S.\n### Вопрос 2. B\n**Развёрнуто.** y\n**Sub.**\nz\n**Источники.** T\n"
     rows = Q.split(spark.createDataFrame([(1, text)], "d int, t string"), "d", "t")
     assert [(r["number"], r["title"]) for r in rows.orderBy("ord").collect()] == [("1", "A"), ("2", "B")]
     merged = Q.merge(rows, "2", "1", "More").collect()
-    assert len(merged) == 1 and "**More.**\n\ny\nSub\nz" in merged[0]["body"] and "S; T" in merged[0]["body"]
-    cut = Q.split_at(rows, "2", "Sub\n", "2a", "New").collect()
-    assert [r["number"] for r in cut if r["ord"] == 2] == ["2", "2a"]
+    assert len(merged) == 1 and "**More.**\n\ny\n**Sub.**\nz" in merged[0]["body"] and "S; T" in merged[0]["body"]
+    cut = Q.split_at(rows, "2", "**Sub", "2a", "New").collect()
+    assert [r["number"] for r in cut if r["ord"] == 2] == ["2", "2a"] and all("**Источники.** T" in r["body"] for r in cut if r["ord"] == 2)
+
+
+def test_hits_shuffle_no_table(spark, tmp_path):
+    """Documents and texts are read by key; no join of theirs sorts or shuffles."""
+    rng = np.random.default_rng(1)
+    rows = [(i, i % 5, rng.normal(size=8).tolist(), "K", f"f{i}.pdf", 2000 + i % 20, 1, 2, "s") for i in range(500)]
+    spark.createDataFrame(rows, "doc_id bigint, chunk_index int, embedding array<float>, cite_key string, filename string, year int, page_start int, page_end int, section string").write.parquet(str(tmp_path / "v"))
+    spark.createDataFrame([(i, f"t{i}", "A") for i in range(500)], "doc_id bigint, title string, authors string").write.parquet(str(tmp_path / "d"))
+    spark.createDataFrame([(i, i % 5, "x" * 50) for i in range(500)], "doc_id bigint, chunk_index int, text string").write.parquet(str(tmp_path / "c"))
+    v, d, c = (spark.read.parquet(str(tmp_path / n)) for n in "vdc")
+    out = S.hits(v, d, c, rows[3][2], 4, year_max=2010)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("In(doc_id") >= 2 and "BroadcastHashJoin" in plan
+    assert [r["rank"] for r in out.orderBy("rank").collect()] == [1, 2, 3, 4] and out.orderBy("rank").first()["doc_id"] == 3
+    best = V.top_k(v, "embedding", rows[3][2], 4, ["doc_id"])._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in best
+
+
+def test_crowds_of_equal_scores(spark):
+    """Of many equal vectors the smallest keys come first, in one question and in many, each key once."""
+    rows = [(i % 700, [1.0, 0.0]) for i in range(2100)] + [(5000 + i, [0.6, 0.8]) for i in range(3)] + [(6000, None), (6001, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "id bigint, v array<float>").repartition(7)
+    assert [(r["id"], r["rank"]) for r in V.top_k(df, "v", [2.0, 0.0], 5, ["id"]).orderBy("rank").collect()] == [(i, i + 1) for i in range(5)]
+    q = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", None)], "q string, e array<float>")
+    for block in (1, 20_000):
+        got = [(r["q"], r["id"], r["score"]) for r in V.batch_top_k(df, "v", "id", q, "q", "e", 3, block).orderBy("q", "rank").collect()]
+        assert got == [("a", 0, 1.0), ("a", 1, 1.0), ("a", 2, 1.0), ("b", 5000, 0.8), ("b", 5001, 0.8), ("b", 5002, 0.8)]
