@@ -29,7 +29,7 @@ LATIN_LOOK = "ABEKMHOPCTYXaeopcyxiI"
 LATIN_AS_CYRILLIC = "АВЕКМНОРСТУХаеорсухіІ"
 GREEK_LOOK_CYR = "ΑΒΕΚΜΗΟΡΤΧορ"
 GREEK_AS_CYRILLIC = "АВЕКМНОРТХор"
-LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "Ⅱ": "II", "Ⅲ": "III", "Ⅳ": "IV", "Ⅵ": "VI", "Ⅶ": "VII", "Ⅷ": "VIII", "Ⅸ": "IX", "ⅱ": "ii", "ⅲ": "iii", "ⅳ": "iv", "ⅵ": "vi", "ⅶ": "vii", "ⅷ": "viii", "ⅸ": "ix"}
 
 # Character classes of the RE2 syntax.
 INVISIBLE = r"[\x{00AD}\x{034F}\x{061C}\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{FE00}-\x{FE0F}\x{FEFF}]"
@@ -40,12 +40,12 @@ CYRILLIC = r"\x{0400}-\x{052F}"
 
 
 def _styled() -> tuple[str, str]:
-    """Full-width, half-width and mathematical letters with the plain one of each, by rule."""
+    """Full-width, half-width, small and mathematical forms and Roman numerals of one letter with the plain one of each, by rule."""
     pairs = []
-    for low, high in ((0xFF01, 0xFF9F), (0x1D400, 0x1D7FF), (0x2100, 0x214F)):
+    for low, high, more in ((0xFF01, 0xFF9F, ""), (0x1D400, 0x1D7FF, ""), (0x2100, 0x214F, ""), (0xFE50, 0xFE6B, "<small>"), (0x2160, 0x217F, "<compat>")):
         for point in range(low, high + 1):
             c = chr(point)
-            if unicodedata.decomposition(c).split(" ")[0] in ("<wide>", "<narrow>", "<font>"):
+            if unicodedata.decomposition(c).split(" ")[0] in ("<wide>", "<narrow>", "<font>", more):
                 plain = unicodedata.normalize("NFKC", c)
                 if len(plain) == 1:
                     pairs.append((c, plain))
@@ -53,7 +53,7 @@ def _styled() -> tuple[str, str]:
 
 
 STYLED, PLAIN = _styled()
-_ranges = r"[\x{FF01}-\x{FF9F}\x{1D400}-\x{1D7FF}\x{2100}-\x{214F}\x{FB00}-\x{FB06}]"
+_ranges = r"[\x{FF01}-\x{FF9F}\x{1D400}-\x{1D7FF}\x{2100}-\x{214F}\x{2160}-\x{217F}\x{FB00}-\x{FB06}\x{FE50}-\x{FE6B}]"
 
 
 def _own(look: str, every: str) -> str:

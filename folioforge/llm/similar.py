@@ -256,7 +256,7 @@ def most_similar(
     share = min(1.0, 1.5 * SAMPLE / max(1, rows))
     ask = F.lit(True) if asking is None else F.coalesce(asking, F.lit(False))
     narrow = dealt(df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("v"), ask.alias("ask")).filter("v IS NOT NULL"))
-    picked = narrow.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * share)).limit(SAMPLE).select("v").toArrow()
+    picked = narrow.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * share)).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow()
     if dim is None:
         sizes = np.array([len(v) for v in picked.column("v").to_pylist()] or [1])
         dim = int(np.bincount(sizes).argmax())

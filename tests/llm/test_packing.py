@@ -59,3 +59,15 @@ def test_rows(spark):
     assert [c[0] for c in cut] == list(range(len(cut))) and all(a[2] == b[1] for a, b in itertools.pairwise(cut)) and len(cut) > 1
     assert all(r["piece_no"] == 0 for r in out if r["doc_id"] != 3)
     assert fill_containers(sizes.limit(0), "doc_id", "tokens").count() == 0
+
+
+def test_containers_are_full(spark):
+    """Sizes skewed like those of texts: nearly no space is left over, however the items are dealt to shards."""
+    rng = np.random.default_rng(3)
+    sizes = np.minimum(np.maximum(rng.lognormal(4.6, 1.1, 6000).astype(int), 1), 9000)
+    df = spark.createDataFrame([(i, int(n)) for i, n in enumerate(sizes)], "id bigint, tokens int")
+    for per_shard in (100_000, 1_500):
+        out = fill_containers(df, "id", "tokens", capacity=2048, items_per_shard=per_shard)
+        used = out.select("shard", "container").distinct().count()
+        assert sizes.sum() / (2048 * used) > 0.98
+        assert out.groupBy("id").sum("token_begin").count() == 6000
