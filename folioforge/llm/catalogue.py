@@ -17,8 +17,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The ten most similar chunks of every chunk whose id is divisible by 50, against all chunks."""
-    return similar.most_similar(
-        table(spark, d, "vectors"), "chunk_id", "embedding", asking=F.col("chunk_id") % 50 == 0, probes=similar.PROBES, candidates=similar.CELL)
+    return similar.most_similar(table(spark, d, "vectors"), "chunk_id", "embedding", asking=F.col("chunk_id") % 50 == 0)
 
 
 def _scanned(spark: SparkSession, d: str) -> DataFrame:

@@ -4,8 +4,8 @@ A hash-prefix forest: each tree holds the vectors as a sorted array of long hash
 strings (signs of projections).  Some trees order the whole collection and cut
 it, at quantiles, into cells of about ``CELL`` vectors; inside a cell a worker
 grows further trees, descends to the longest matching prefixes and ascends all
-trees at once, one letter at a time, until a vector has ``CANDIDATES``
-candidates, which are compared exactly.
+trees at once, one letter at a time, until a vector has enough candidates, which are
+compared exactly.
 
 The cuts and the centre are fitted on a bounded sample (``SAMPLE`` rows); every
 row is indexed.  ``min_similarity`` leaves out neighbours below it.
@@ -38,9 +38,9 @@ ORDERINGS = 6  # trees that order the whole collection
 TREES = 8  # trees grown in each cell
 BITS = 24
 CELL = 32_768
-CANDIDATES = 1_500
+CANDIDATES = 1_500  # where only neighbours of a high similarity are asked for
 SAMPLE = 20_000
-PROBES = 2  # further cells of each ordering that the rows of a query set are sent to
+PROBES = 2  # further cells of each ordering that the rows which ask are sent to
 SEED = 5
 CROWD = 1_000  # equal vectors above which a few stand for all
 CROWDS_SENT = 100_000  # crowds sent to every task; more are joined by shuffle
@@ -243,13 +243,16 @@ def _crowds(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame] | None:
 
 
 def most_similar(
-    df: DataFrame, key: str, vector: str, k: int = K, min_similarity: float | None = None, dim: int | None = None, orderings: int = ORDERINGS, trees: int = TREES, candidates: int = CANDIDATES, cell: int = CELL,
-    asking: Column | None = None, probes: int = 0,
+    df: DataFrame, key: str, vector: str, k: int = K, min_similarity: float | None = None, dim: int | None = None, orderings: int = ORDERINGS, trees: int = TREES, candidates: int = CELL, cell: int = CELL,
+    asking: Column | None = None, probes: int = PROBES,
 ) -> DataFrame:
     """key, neighbour, similarity, rank: the k most similar other keys of every key found by the forest.
 
     ``asking``: only rows for which it holds ask for neighbours (all rows are
-    stored); these few are also sent to ``probes`` further cells of each ordering.
+    stored).  Rows that ask are also sent to ``probes`` further cells of each ordering,
+    and compared with ``candidates`` rows of each cell.  The defaults find nearly all of
+    the ten most similar even where these are hardly more similar than any others;
+    fewer candidates and no probes are enough for neighbours that stand out.
     """
     spark = df.sparkSession
     rows = df.count()
@@ -307,6 +310,9 @@ def most_similar(
 
 
 def similar_pairs(df: DataFrame, key: str, vector: str, min_similarity: float, k: int = K) -> DataFrame:
-    """Pairs of keys of at least the similarity of which one is among the other's k most similar; the smaller key first."""
-    found = most_similar(df, key, vector, k, min_similarity)
+    """Pairs of keys of at least the similarity of which one is among the other's k most similar; the smaller key first.
+
+    For similarities of 0.85 or more: neighbours so near share long prefixes in some tree.
+    """
+    found = most_similar(df, key, vector, k, min_similarity, candidates=CANDIDATES, probes=0)
     return found.select(F.least(key, "neighbour").alias(f"{key}_a"), F.greatest(key, "neighbour").alias(f"{key}_b")).distinct()

@@ -75,3 +75,18 @@ def test_a_crowd_of_equal_rows(spark):
         low = 100 if i < 2000 else 2000
         assert [n for _, n in sorted(got[i])] == [j for j in range(low, low + 4) if j != i][:3]
     assert [n for _, n in sorted(got[9000])] == [100, 101, 102]
+
+
+def test_recall_at_the_defaults_over_many_cells(spark):
+    """No neighbour stands out, and the collection is cut into cells: nearly all are found."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6000, 24)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, v array<float>")
+    s = x[::50] @ x.T
+    s[np.arange(120), np.arange(0, 6000, 50)] = -9
+    true = {(50 * a, int(b)) for a, row in enumerate(np.argsort(-s, axis=1)[:, :10]) for b in row}
+    found = most_similar(df, "id", "v", cell=1000)
+    got = {(r["id"], r["neighbour"]) for r in found.filter("id % 50 = 0").collect()}
+    assert len(got & true) / len(true) >= 0.95
+    assert found.count() == 60_000
