@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -20,28 +21,34 @@ def documents_with_keywords(documents: DataFrame, key: str, text: str, keywords:
     One pass of an Aho-Corasick automaton per block of keywords over all texts
     instead of a join by containment.
     """
-    words = [r[0] for r in keywords.select(keywords.columns[0]).distinct().orderBy(keywords.columns[0]).toLocalIterator()]
     spark = documents.sparkSession
     result = None
-    for low in range(0, len(words), KEYWORDS_AT_ONCE):
-        block = [w for w in words[low : low + KEYWORDS_AT_ONCE] if w]
 
-        def run(batches: Iterator[pa.RecordBatch], block: list[str] = block) -> Iterator[pa.RecordBatch]:
+    def scan(block: list[str]) -> DataFrame:
+        sent = spark.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             import ahocorasick
 
             automaton = ahocorasick.Automaton()
-            for i, w in enumerate(block):
+            for i, w in enumerate(sent.value):
                 automaton.add_word(w, i)
             automaton.make_automaton()
-            counts = [0] * len(block)
+            counts = [0] * len(sent.value)
             for batch in batches:
                 for t in batch.column("t").to_pylist():
                     for i in {i for _, i in automaton.iter(t)}:
                         counts[i] += 1
             found = [i for i, n in enumerate(counts) if n]
-            yield pa.RecordBatch.from_arrays([pa.array([block[i] for i in found], pa.string()), pa.array([counts[i] for i in found], pa.int64())], ["keyword", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([sent.value[i] for i in found], pa.string()), pa.array([counts[i] for i in found], pa.int64())], ["keyword", "n"])
+
+        return documents.select(F.lower(text).alias("t")).filter("t IS NOT NULL").mapInArrow(run, "keyword string, n bigint")
 
-        part = documents.select(F.lower(text).alias("t")).filter("t IS NOT NULL").mapInArrow(run, "keyword string, n bigint")
+    # The driver holds one block at a time.
+    name = keywords.columns[0]
+    words = keywords.select(name).filter(F.col(name) != "").distinct().orderBy(name).toLocalIterator()
+    while block := [r[0] for r in islice(words, KEYWORDS_AT_ONCE)]:
+        part = scan(block)
         result = part if result is None else result.unionByName(part)
     if result is None:
         return spark.createDataFrame([], "keyword string, documents bigint")
@@ -178,3 +185,16 @@ def limited_figures(figures: DataFrame, per_file: int = 25, most: int = 25) -> D
     own = Window.partitionBy("file").orderBy("page")
     kept = figures.withColumn("_r", F.row_number().over(own)).filter(F.col("_r") <= per_file).drop("_r")
     return kept.orderBy("file", "page").limit(most)
+
+
+def crop_rectangles(images: DataFrame, pad: float = 0.02) -> DataFrame:
+    """file, page, x0, y0, x1, y1: the largest image of each page with a margin, within the page.
+
+    ``images``: file, page, x0, y0, x1, y1, width, height (of the page).
+    """
+    c = F.col
+    area = (c("x1") - c("x0")) * (c("y1") - c("y0"))
+    best = images.groupBy("file", "page").agg(F.max_by(F.struct("x0", "y0", "x1", "y1", "width", "height"), F.struct(area, -c("y0"), -c("x0"))).alias("b")).select("file", "page", "b.*")
+    return best.select(
+        "file", "page", F.greatest(F.lit(0.0), c("x0") - c("width") * pad).alias("x0"), F.greatest(F.lit(0.0), c("y0") - c("height") * pad).alias("y0"),
+        F.least(c("width"), c("x1") + c("width") * pad).alias("x1"), F.least(c("height"), c("y1") + c("height") * pad).alias("y1"))

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from folioforge.functions import text as T
+
 QUERY_BLOCK = 20_000
 
 
@@ -155,6 +157,11 @@ def batch_top_k(df: DataFrame, vector: str, key: str, queries: DataFrame, query_
     return best.select(F.col("q").alias(query_key), F.col("id").alias(key if key != query_key else "neighbour"), "score", "rank")
 
 
+def embedding_tokens(text: Column, prefix: str = "passage: ", special: int = 2, size=T.token_count) -> Column:
+    """Tokens that reach a model: those of the text with its prefix and the model's own marks."""
+    return size(F.concat(F.lit(prefix), F.coalesce(text, F.lit("")))) + special
+
+
 def hashed_vector(text: str, dim: int = 64) -> np.ndarray:
     """Deterministic unit vector of a text's words, where no model is at hand."""
     v = np.zeros(dim, dtype=np.float32)

@@ -21,7 +21,7 @@ JOURNAL = "ts timestamp, session string, stage string, level string, source stri
 
 
 def scan(spark: SparkSession, folder: str, formats: tuple[str, ...] = FORMATS) -> DataFrame:
-    """path, filename, extension, length, sha256, content of all files of the formats, whatever their case."""
+    """path, filename, extension, length, sha256, content of all files of the formats, whatever their case; empty files are none."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     extension = F.lower(F.regexp_extract("path", "[.]([^./]+)$", 1))
     rows = files.withColumn("extension", extension).filter(F.col("extension").isin(*formats))
