@@ -188,6 +188,8 @@ class Engine:
     def check(self) -> DataFrame:
         """ord, stage, status, detail: environment, settings, tables, documents, chunks and vectors."""
         fixed = [*Q.environment(self.spark), *self.config.checks()]
+        program = files_.find_program(self.config.recogniser)
+        fixed.append(("recognition", "OK" if self.recognise or program else "WARN", "given" if self.recognise else program or "none: pages without text are left out"))
         missing = self.store.tables_missing()
         fixed.append(("storage", "WARN" if missing else "OK", "missing: " + ", ".join(missing) if missing else "all tables there"))
         rows = self.spark.createDataFrame([(i, *f) for i, f in enumerate(fixed)], "ord int, stage string, status string, detail string")

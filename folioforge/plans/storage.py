@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from folioforge.operators import analysis as A
 from folioforge.operators import journal as J
 from folioforge.operators import vectors as V
 from folioforge.plans import markup as PM
+from folioforge.plans.search import strip
+from folioforge.plans.texts import clean
 from folioforge.session import table
 from folioforge.shared import cut, new_path
 from folioforge.sources import files, sinks, store
@@ -115,13 +119,50 @@ def coverage_of_wordings(spark: SparkSession, d: str) -> DataFrame:
     return A.coverage(hits, keywords, A.documents_with_keywords(table(spark, d, "documents"), "doc_id", "text", keywords.select("keyword")))
 
 
+def _read_pages(raw: bytes) -> list:
+    """Pages parted by empty lines; their lines stand from bottom to top, with an image before them."""
+    return [(i, [(0.0, -1e9, "image", 1), *[(0.0, float(-k), line, 0) for k, line in enumerate(page.split("\n"))]]) for i, page in enumerate(raw.decode().split("\n\n"), 1)]
+
+
+def _recognise(raw: bytes, page: int) -> str:
+    if page % 3 == 0:
+        raise ValueError("illegible")
+    return f"recognised page {page}\n\n?"
+
+
+def _read_info(raw: bytes) -> tuple:
+    told = json.loads(raw)
+    return told.get("title"), told.get("authors"), [(10.0 + len(line) % 4, 100.0 * k, 800.0, line) for k, line in enumerate((told.get("text") or "").split("\n")[:7], 1)]
+
+
+def pdf_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The texts of all documents as if they were files to be read page by page, with recognition where a page holds little."""
+    docs = table(spark, d, "documents").filter("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("path"), F.lit("pdf").alias("extension"), F.col("text").cast("binary").alias("content"))
+    pages = files.pages(docs, _read_pages, 30, _recognise)
+    return pages.select(F.col("path").cast("bigint").alias("doc_id"), "page", F.array_join("blocks", "\n\n").alias("text"), "used_ocr", "ocr_needed")
+
+
+def pdf_info(spark: SparkSession, d: str) -> DataFrame:
+    """Titles and authors as files tell them, else from the largest of the first lines."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.lit("pdf").alias("extension"), F.to_json(F.struct("title", "authors", "text")).cast("binary").alias("content"))
+    return files.document_info(docs, _read_info).select(F.col("path").cast("bigint").alias("doc_id"), "title", "authors")
+
+
 QUERIES = {f.__name__: f for f in (
-    store_cycle, journal_written, works_enriched, files_scanned, batch_file, corpora_file, topics_file, embedding_lengths, crop_rectangles, coverage_of_wordings)}
+    store_cycle, journal_written, works_enriched, files_scanned, batch_file, corpora_file, topics_file, embedding_lengths, crop_rectangles, coverage_of_wordings, pdf_pages, pdf_info)}
 
 _counts = lambda step, where: f"""SELECT '{step}' AS step, (SELECT count(*) FROM documents d WHERE {where}) AS documents, (SELECT count(*) FROM chunks JOIN documents d USING (doc_id) WHERE {where}) + (SELECT count(*) FROM chunks WHERE doc_id NOT IN (SELECT doc_id FROM documents)) AS chunks,
  (SELECT count(*) FROM vectors JOIN documents d USING (doc_id) WHERE {where}) + (SELECT count(*) FROM vectors WHERE doc_id NOT IN (SELECT doc_id FROM documents)) AS vectors"""
 
+_junk = "|".join(files.JUNK_AUTHORS)
 ORACLE = {
+    "pdf_pages": f"""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS p, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS page FROM documents WHERE text IS NOT NULL),
+ b AS (SELECT doc_id, page, array_to_string(list_reverse(list_filter(list_transform(string_split(p, chr(10)), lambda x: {clean('x')}), lambda x: length(x) >= 2)), chr(10) || chr(10)) AS t FROM p)
+ SELECT doc_id, CAST(page AS INTEGER) AS page, CASE WHEN length(t) < 30 AND page % 3 <> 0 THEN 'recognised page ' || page ELSE t END AS text, length(t) < 30 AND page % 3 <> 0 AS used_ocr, length(t) < 30 AND page % 3 = 0 AS ocr_needed FROM b""",
+    "pdf_info": f"""WITH l AS (SELECT doc_id, title, authors, string_split(coalesce(text, ''), chr(10))[1:5] AS w FROM documents), m AS (SELECT *, list_max(list_transform(w, lambda x: length(x) % 4)) AS top FROM l),
+ t AS (SELECT *, regexp_replace({strip("array_to_string(list_filter(w, lambda x: length(x) % 4 = top), ' ')")}, '{T.W}+', ' ', 'g') AS layout FROM m)
+ SELECT doc_id, coalesce(CASE WHEN length({strip('title')}) >= 8 AND NOT regexp_matches(lower(title), '^(untitled|microsoft word|document[0-9]*)') THEN {strip('title')} END, CASE WHEN length(layout) BETWEEN 12 AND 400 THEN layout END) AS title,
+ CASE WHEN NOT regexp_matches(lower(authors), '{_junk}') AND {strip('authors')} <> '' THEN {strip('authors')} END AS authors FROM t""",
     "store_cycle": " UNION ALL ".join([_counts("stored", "true"), _counts("deleted", "d.status <> 'error' OR d.doc_id = 1"), _counts("restored", "true"), "SELECT 'snapshots', 1, 0, (SELECT max(doc_id) + 1 FROM documents)"]),
     "journal_written": "SELECT stage, level, count(*) AS n FROM journal WHERE upper(level) IN ('WARN', 'ERROR') GROUP BY 1, 2",
     "works_enriched": """WITH w AS (SELECT lower(doi) AS k, min(title) AS t, min(authors) AS a, min(year) AS y, min(journal) AS j FROM documents WHERE doi IS NOT NULL AND doi <> '' GROUP BY 1)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tomllib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,6 +51,14 @@ InfoReader = Callable[[bytes], tuple[str | None, str | None, list[tuple[float, f
 BLOCK = "struct<x: double, y: double, text: string, kind: int>"
 
 
+@lru_cache(maxsize=None)
+def find_program(named: str = "", program: str = "tesseract", places: tuple[str, ...] = ("/usr/bin", "/usr/local/bin", "/opt/homebrew/bin", "C:/Program Files/Tesseract-OCR")) -> str | None:
+    """Where a recognition program is: as named in the settings, on the path, or in one of the usual places; looked for once."""
+    if named:
+        return named if os.access(named, os.X_OK) else shutil.which(named)
+    return shutil.which(program) or next((at for p in places for at in (f"{p}/{program}", f"{p}/{program}.exe") if os.access(at, os.X_OK)), None)
+
+
 def texts(files: DataFrame) -> DataFrame:
     """path, text, error of the text formats.  A failing file fails alone; other formats get an error and no text."""
 
@@ -236,6 +246,7 @@ class Config:
     backup_keep: int = 5
     backup_hours: float = 12.0
     batch_size: int = 512
+    recogniser: str = ""
     extra: dict = field(default_factory=dict)
 
     @classmethod
