@@ -265,10 +265,24 @@ def split_files(spark: SparkSession, paths: list[str], limit: int = LIMIT, overl
                     total += sizes[m]
                     at[m] = total
                 heads = headings_of(window)
-                out += [(path, no, k, at[a] + shift, at[b] + shift, _before(heads, a), window[a:b]) for k, (a, b) in enumerate(pieces)]
+                out += [(path, no, k, at[a] + shift, at[b] + shift, _before(heads, a)) for k, (a, b) in enumerate(pieces)]
                 if head := _before(heads, len(window) - len(right[:limit]) - 1):
-                    out.append((path, no, OPENED, 0, 0, head, None))
-            yield pd.DataFrame(out, columns=["id", "range_no", "k", "begin", "end", "heading", "piece"])
+                    out.append((path, no, OPENED, 0, 0, head))
+            yield pd.DataFrame(out, columns=["id", "range_no", "k", "begin", "end", "heading"])
 
-    cuts = cut_lineage(ranges.mapInPandas(run, "id string, range_no int, k int, begin bigint, end bigint, heading string, piece string"), "file-cuts")
-    return _numbered(cuts).select(F.col("id").alias("path"), "piece_no", "begin", "end", "piece", F.col("heading").alias("section"))
+    # The boundary table holds offsets only; the pieces of each range are then read by them.
+    cuts = cut_lineage(ranges.mapInPandas(run, "id string, range_no int, k int, begin bigint, end bigint, heading string"), "file-cuts")
+    table = _numbered(cuts).groupBy("id", "range_no").agg(F.sort_array(F.collect_list(F.struct("piece_no", "begin", "end", "heading"))).alias("own"))
+
+    def emit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for path, own in zip(part["id"], part["own"]):
+                low = own[0]["begin"]
+                system, plain = opened(path)
+                with system.open_input_file(plain) as f:
+                    f.seek(low)
+                    data = f.read(own[-1]["end"] - low)
+                rows = [(path, p["piece_no"], p["begin"], p["end"], data[p["begin"] - low : p["end"] - low].decode("utf-8", "replace"), p["heading"]) for p in own]
+                yield pd.DataFrame(rows, columns=["path", "piece_no", "begin", "end", "piece", "section"])
+
+    return table.mapInPandas(emit, "path string, piece_no int, begin bigint, end bigint, piece string, section string")
