@@ -123,19 +123,18 @@ def _before(heads: list[tuple[int, str]], at: int) -> str | None:
     return next((h for begin, h in reversed(heads) if begin <= at), None)
 
 
-def _cut_ranges(limit: int, overlap: int, with_text: bool):
+def _cut_ranges(limit: int, overlap: int, with_headings: bool):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
             for key, no, base, left, mid, right in zip(part["id"], part["range_no"], part["base"], part["left"], part["mid"], part["right"]):
                 pieces, window = _stretch_pieces(left, mid, right, no == 0, limit, overlap)
                 shift = base - len(left)
-                heads = headings_of(window) if with_text else []
-                for k, (a, b) in enumerate(pieces):
-                    rows.append((key, no, k, a + shift, b + shift, _before(heads, a), window[a:b] if with_text else None))
+                heads = headings_of(window) if with_headings else []
+                rows += [(key, no, k, a + shift, b + shift, _before(heads, a)) for k, (a, b) in enumerate(pieces)]
                 if head := _before(heads, len(left) + len(mid) - 1):
-                    rows.append((key, no, OPENED, 0, 0, head, None))
-            yield pd.DataFrame(rows, columns=["id", "range_no", "k", "begin", "end", "heading", "piece"])
+                    rows.append((key, no, OPENED, 0, 0, head))
+            yield pd.DataFrame(rows, columns=["id", "range_no", "k", "begin", "end", "heading"])
 
     return run
 
@@ -162,8 +161,8 @@ def _numbered(table: DataFrame) -> DataFrame:
         .withColumn("piece_no", (F.col("offset") + F.col("k")).cast("int")).withColumn("heading", F.coalesce("heading", "earlier")).drop("offset", "earlier"))
 
 
-def boundary_cuts(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP, range_chars: int = RANGE, with_text: bool = True) -> DataFrame:
-    """The pieces of every text longer than ``limit``: id, range_no, k, begin, end, heading, piece.
+def boundary_cuts(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP, range_chars: int = RANGE, with_headings: bool = True) -> DataFrame:
+    """The boundary table of every text longer than ``limit``, without text: id, range_no, k, begin, end, heading.
 
     A row with k = ``OPENED`` tells the last heading of a range that has one.
     """
@@ -179,8 +178,7 @@ def boundary_cuts(df: DataFrame, key: str, text: str, limit: int = LIMIT, overla
         f" if(i + 1 < size(b), left(b[i + 1], {limit}), '') AS right))")).alias("range_no", "r"))
     ranges = ranges.select("id", "range_no", (F.col("range_no").cast("bigint") * range_chars).alias("base"), "r.left", "r.mid", "r.right")
     kind = df.schema[key].dataType.simpleString()
-    schema = f"id {kind}, range_no int, k int, begin bigint, end bigint, heading string, piece string"
-    return ranges.mapInPandas(_cut_ranges(limit, overlap, with_text), schema)
+    return ranges.mapInPandas(_cut_ranges(limit, overlap, with_headings), f"id {kind}, range_no int, k int, begin bigint, end bigint, heading string")
 
 
 def split_items(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP, range_chars: int = RANGE) -> DataFrame:
@@ -190,26 +188,26 @@ def split_items(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap:
     pages are the part of the item's page range that its characters cover; its
     section is the last heading before it in the text, else the item's section.
     """
-    spark = df.sparkSession
-    about = df.select(
-        F.col(key).alias("id"), F.length(text).alias("n"), F.least("page_start", "page_end").alias("p0"),
-        F.greatest("page_start", "page_end").alias("p1"), F.expr("nullif(trim(section), '')").alias("sec"))
-    small = df.filter(F.length(text) <= limit).select(
-        F.col(key).alias("id"), F.lit(0).alias("piece_no"), F.lit(0).cast("bigint").alias("begin"),
-        F.length(text).cast("bigint").alias("end"), F.col(text).alias("piece"),
-        F.least("page_start", "page_end").alias("page_first"), F.greatest("page_start", "page_end").alias("page_last"),
-        F.expr("nullif(trim(section), '')").alias("section"))
-    cuts = cut_lineage(boundary_cuts(df, key, text, limit, overlap, range_chars), "cuts")
-    long = _numbered(cuts).join(about.filter(F.col("n") > limit), "id").withColumn("span", F.col("p1") - F.col("p0") + 1)
+    about = [
+        F.length(text).alias("n"), F.least("page_start", "page_end").alias("p0"), F.greatest("page_start", "page_end").alias("p1"), F.expr("nullif(trim(section), '')").alias("sec")]
+    items = df.select(F.col(key).alias("id"), F.col(text).alias("t"), *about)
+    small = items.filter(F.col("n") <= limit).select(
+        "id", F.lit(0).alias("piece_no"), F.lit(0).cast("bigint").alias("begin"), F.col("n").cast("bigint").alias("end"), F.col("t").alias("piece"),
+        F.col("p0").alias("page_first"), F.col("p1").alias("page_last"), F.col("sec").alias("section"))
+    # The pieces of an item are cut out of it by the offsets of the stitched table.
+    table = _numbered(cut_lineage(boundary_cuts(df, key, text, limit, overlap, range_chars), "cuts"))
+    own = table.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("piece_no", "begin", "end", "heading"))).alias("own"))
+    pieces = items.filter(F.col("n") > limit).join(own, "id").withColumn("span", F.col("p1") - F.col("p0") + 1).select("*", F.explode("own").alias("x")).select("*", "x.*")
     first = F.least(F.col("p1"), F.col("p0") + F.floor(F.col("begin") * F.col("span") / F.col("n")))
     last = F.least(F.col("p1"), F.col("p0") + F.floor((F.col("end") - 1) * F.col("span") / F.col("n")))
-    long = long.select("id", "piece_no", "begin", "end", "piece", first.cast("int").alias("page_first"), last.cast("int").alias("page_last"), F.coalesce("heading", "sec").alias("section"))
+    piece = F.substr("t", (F.col("begin") + 1).cast("int"), (F.col("end") - F.col("begin")).cast("int"))
+    long = pieces.select("id", "piece_no", "begin", "end", piece.alias("piece"), first.cast("int").alias("page_first"), last.cast("int").alias("page_last"), F.coalesce("heading", "sec").alias("section"))
     return small.unionByName(long).withColumnRenamed("id", key)
 
 
 def oversized(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP, range_chars: int = RANGE) -> DataFrame:
     """Keys of the items that had to be cut, from the boundary table alone."""
-    cuts = boundary_cuts(df, key, text, limit, overlap, range_chars, with_text=False)
+    cuts = boundary_cuts(df, key, text, limit, overlap, range_chars, with_headings=False)
     return cuts.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("id").alias(key))
 
 
