@@ -109,8 +109,8 @@ class Engine:
 
         named = documents.select("doc_id", "filename")
         errors = pages.filter("error IS NOT NULL").select("doc_id", F.lit("ERROR").alias("level"), F.col("error").alias("problem"), F.lit(1).cast("bigint").alias("n"))
-        stored = self.store.read("chunks").join(F.broadcast(named.select("doc_id")), "doc_id", "left_semi")
-        indexed = self.store.read("vectors").join(F.broadcast(named.select("doc_id")), "doc_id", "left_semi")
+        stored = self.store.read("chunks").join(named.select("doc_id"), "doc_id", "left_semi")
+        indexed = self.store.read("vectors").join(named.select("doc_id"), "doc_id", "left_semi")
         twins = I.doi_classes(self.store.read("documents")).join(named.select("doc_id"), "doc_id", "left_semi")
         for stage, found in (
             ("extract", errors.unionByName(Q.extraction_problems(documents, pages))), ("chunk", Q.chunk_problems(documents, chunks)),
