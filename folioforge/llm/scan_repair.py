@@ -345,26 +345,35 @@ class Mender:
             kept.append(self._inline(line))
         text = "\n".join(kept)
 
-        def rejoin(m: re.Match) -> str:
-            a, mark, line_end, b = m.groups()
-            if f"{a}\t{mark}\t{b}".lower() in self.join:
-                return a + b
-            return f"{a}{'' if mark in SOFT else '-'}{b}" if line_end else m.group(0)
-
-        def whole(m: re.Match) -> str:
-            return m.group(1) + m.group(2) if m.group(0).lower() in self.join else m.group(0)
-
-        text = BROKEN.sub(rejoin, text)
-        text = COMPOUND.sub(whole, text)
-        text = TOKEN.sub(self._mend_word, text)
-        paragraphs = re.split(r"\n[^\S\n]*\n\s*", text)
+        text = BROKEN.sub(self._rejoin, text)
+        text = COMPOUND.sub(lambda m: m.group(1) + m.group(2) if m.group(0).lower() in self.join else m.group(0), text)
+        return self._paragraphs(TOKEN.sub(self._mend_word, text))
+
+    def _rejoin(self, m: re.Match) -> str:
+        a, mark, line_end, b = m.groups()
+        if f"{a}\t{mark}\t{b}".lower() in self.join:
+            return a + b
+        return f"{a}{'' if mark in SOFT else '-'}{b}" if line_end else m.group(0)
+
+    @staticmethod
+    def _paragraphs(text: str) -> str:
+        """Lines joined to paragraphs, but for those of lists and tables."""
         out = []
-        for p in paragraphs:
+        for p in re.split(r"\n[^\S\n]*\n\s*", text):
             p = re.sub(r"[^\S\n]*\n[^\S\n]*(?![-–—*•+] |\d{1,3}[.)]\s|\[\d|\S+\t|[^\n]*\|)", " ", p.strip())
             if p:
                 out.append(re.sub(r"[^\S\n\t]{2,}", " ", p))
         return "\n\n".join(out)
 
+    def joined(self, text: str | None) -> str | None:
+        """A text without damage as paragraphs; the same as ``mend`` gives of it."""
+        if not text:
+            return text
+        text = clean(text)
+        if "\n" in text:
+            text = BROKEN.sub(self._rejoin, text)
+        return self._paragraphs(text)
+
 
 def _entries(text: str) -> set[str]:
     """Everything of a text that a dictionary may hold."""
@@ -438,7 +447,7 @@ def repaired_texts(df: DataFrame, column: str, keys: list[str], shipped: int = S
     def work(menders: list[Mender], batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column("t").to_pylist()
         hit = [m.damaged(t) for m, t in zip(menders, texts)]
-        mended = [m.mend(t) for m, t in zip(menders, texts)]
+        mended = [m.mend(t) if h else m.joined(t) for m, t, h in zip(menders, texts, hit)]
         return pa.RecordBatch.from_arrays(
             [*[batch.column(f"k{i}") for i in range(len(keys))], pa.array(mended, pa.string()), pa.array(hit, pa.bool_())],
             [*[f"k{i}" for i in range(len(keys))], "repaired", "damaged"])
