@@ -14,6 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from folioforge.functions import text as T
 
 QUERY_BLOCK = 20_000
+NO_SCORE = np.iinfo(np.int64).min
 
 
 def valid(vector: str, dim: int | None = None) -> Column:
@@ -76,6 +77,7 @@ class _Best:
 
     def __init__(self, queries: int, k: int):
         self.k, self.q, self.units, self.keys = k, np.zeros(0, np.int64), np.zeros(0, np.int64), None
+        self.least = np.full(queries, NO_SCORE)  # what a row must reach once a query has k keys
 
     def add(self, q: np.ndarray, units: np.ndarray, keys: np.ndarray) -> None:
         if self.keys is not None:
@@ -89,17 +91,54 @@ class _Best:
         first = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1])))
         rank = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
         self.q, self.units, self.keys = q[rank < self.k], units[rank < self.k], keys[rank < self.k]
+        last = rank == self.k - 1
+        self.least[q[last]] = units[last]
+
+    def meet(self, q: np.ndarray, near: np.ndarray, x: np.ndarray, own: np.ndarray) -> None:
+        """Rows ``x`` of keys ``own`` against the queries ``q``, all of length one; ``near`` are the queries in single precision.
+
+        Products in single precision leave out rows that cannot reach a query's k
+        best, by more than their error; what is left is scored in doubles.
+        """
+        order = np.argsort(own, kind="stable")
+        own, x = own[order], x[order]
+        _, once = np.unique(own, return_index=True) if len(np.unique(own)) < len(own) else (None, None)
+        keys, n, x_near, error = own if once is None else own[once], len(own), x.astype(np.float32).T, (x.shape[1] + 8) * 2.0**-24
+        found = []
+        for low in range(0, len(q), 500):
+            part, least = q[low : low + 500], self.least[low : low + 500]
+            if least.min() > NO_SCORE:
+                floor = ((least - 0.5) / 1e4 - 1e-11 - error).astype(np.float32)
+                at = np.flatnonzero(near[low : low + 500] @ x_near >= floor[:, None])
+                if len(at) <= 4 * self.k * len(part):
+                    who, at = np.divmod(at, n)
+                    units = _rounded(np.einsum("ij,ij->i", part[who], x[at]))
+                    enough = units >= least[who]
+                    found.append((who[enough] + low, units[enough], own[at[enough]]))
+                    continue
+            units = _rounded(part @ x.T)
+            # A repeated key counts once, with its best score.
+            if once is not None:
+                units = np.maximum.reduceat(units, once, axis=1)
+            m = units.shape[1]
+            take = min(self.k, m)
+            mixed = units * n + (n - 1 - np.arange(m))  # equal scores: the smaller key first
+            at = np.argpartition(-mixed, take - 1, axis=1)[:, :take]
+            found.append((np.repeat(np.arange(low, low + len(units)), take), np.take_along_axis(units, at, 1).ravel(), keys[at.ravel()]))
+        who, units, keys = (np.concatenate(f) for f in zip(*found))
+        if len(who):
+            self.add(who, units, keys)
 
 
 def batch_top_k(df: DataFrame, vector: str, key: str, queries: DataFrame, query_key: str, query_vector: str, k: int, block: int = QUERY_BLOCK) -> DataFrame:
-    """query_key, key, score, rank: the k most similar keys of every query.
+    """query_key, key, score, rank: the k most similar keys of every query, among the vectors of its length.
 
-    One pass over the table serves ``block`` queries, sent to the tasks as a
-    broadcast of that size; every task scores its rows against them by matrix
-    products and keeps k of them for each query, so what is shuffled is queries x
-    tasks x k rows.
+    One pass over the table serves ``block`` queries of one length, sent to the
+    tasks as a broadcast of that size; every task scores its rows against them by
+    matrix products and keeps k of them for each query, so what is shuffled is
+    queries x tasks x k rows.
     """
-    rows = queries.filter(valid(query_vector)).select(query_key, query_vector).dropDuplicates([query_key]).orderBy(query_key).toLocalIterator()
+    rows = queries.filter(valid(query_vector)).select(query_key, query_vector).dropDuplicates([query_key]).orderBy(F.size(query_vector), query_key).toLocalIterator()
     key_kind, query_kind = df.schema[key].dataType.simpleString(), queries.schema[query_key].dataType.simpleString()
     spark, sent, ids, data = df.sparkSession, [], [], []
 
@@ -110,10 +149,10 @@ def batch_top_k(df: DataFrame, vector: str, key: str, queries: DataFrame, query_
         data.clear()
 
     for row in rows:
+        if ids and (len(ids) == block or len(row[1]) != len(data[0])):
+            send()
         ids.append(row[0])
         data.append(row[1])
-        if len(ids) == block:
-            send()
     if ids:
         send()
     schema = f"q {query_kind}, id {key_kind}, score double"
@@ -123,29 +162,18 @@ def batch_top_k(df: DataFrame, vector: str, key: str, queries: DataFrame, query_
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, q = shared.value
-            best = _Best(len(names), k)
+            best, near, seen = _Best(len(names), k), q.astype(np.float32), 0
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 own = np.array(batch.column("id").to_pylist())
-                order = np.argsort(own, kind="stable")
-                x = np.stack(batch.column("v").to_numpy(zero_copy_only=False)).astype(np.float64)[order]
+                x = np.stack(batch.column("v").to_numpy(zero_copy_only=False)).astype(np.float64)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
-                own = own[order]
-                _, once = np.unique(own, return_index=True) if len(np.unique(own)) < len(own) else (None, None)
-                n = len(own)
-                for low in range(0, len(q), 500):
-                    units = _rounded(q[low : low + 500] @ x.T)
-                    # A repeated key counts once, with its best score.
-                    if once is not None:
-                        units = np.maximum.reduceat(units, once, axis=1)
-                    keys = own if once is None else own[once]
-                    m = units.shape[1]
-                    take = min(k, m)
-                    mixed = units * n + (n - 1 - np.arange(m))  # equal scores: the smaller key first
-                    at = np.argpartition(-mixed, take - 1, axis=1)[:, :take]
-                    who = np.repeat(np.arange(low, low + len(units)), take)
-                    best.add(who, np.take_along_axis(units, at, 1).ravel(), keys[at.ravel()])
+                low = 0
+                while low < len(own):  # as many rows at once as were seen before: few of them are new among the best
+                    high = min(len(own), low + max(500, seen))
+                    best.meet(q, near, x[low:high], own[low:high])
+                    low, seen = high, seen + high - low
             if best.keys is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in best.q], query_type), pa.array(best.keys, key_type), pa.array(best.units / 1e4)], ["q", "id", "score"])
 

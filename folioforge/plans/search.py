@@ -47,7 +47,7 @@ def knn_paper_part(spark: SparkSession, d: str) -> DataFrame:
 
 def batch_knn(spark: SparkSession, d: str) -> DataFrame:
     every = table(spark, d, "vectors")
-    queries = every.filter("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query"), F.col("embedding").alias("q"))
+    queries = every.filter(V.valid("embedding", 64)).filter("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query"), F.col("embedding").alias("q"))
     return V.batch_top_k(every, "embedding", "chunk_id", queries, "query", "q", 10)
 
 

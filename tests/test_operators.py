@@ -146,3 +146,31 @@ def test_crowds_of_equal_scores(spark):
     for block in (1, 20_000):
         got = [(r["q"], r["id"], r["score"]) for r in V.batch_top_k(df, "v", "id", q, "q", "e", 3, block).orderBy("q", "rank").collect()]
         assert got == [("a", 0, 1.0), ("a", 1, 1.0), ("a", 2, 1.0), ("b", 5000, 0.8), ("b", 5001, 0.8), ("b", 5002, 0.8)]
+
+
+def test_batches_over_vectors_of_several_lengths(spark, tmp_path):
+    """Every query meets the vectors of its own length, in any block, and the named query asks with whole vectors only."""
+    import duckdb
+
+    from folioforge.plans import search
+
+    rng = np.random.default_rng(3)
+    x = {n: rng.normal(size=(3000 if n == 64 else 40, n)).astype(np.float32) for n in (32, 64)}
+    rows = [(10 * i, x[64][i % 2900].tolist()) for i in range(3000)] + [(10 * i + 5, v.tolist()) for i, v in enumerate(x[32])]
+    df = spark.createDataFrame(rows, "chunk_id bigint, embedding array<float>")
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in rows}
+    queries = df.filter("chunk_id % 50 IN (0, 5)").select(F.col("chunk_id").alias("query"), F.col("embedding").alias("q"))
+    want = {}
+    for q in unit:
+        if q % 50 in (0, 5):
+            scores = {i: np.floor(np.round(unit[q] @ v, 12) * 1e4 + 0.5) / 1e4 for i, v in unit.items() if len(v) == len(unit[q])}
+            want[q] = sorted((-s, i) for i, s in scores.items())[:10]
+    for block, most in ((3, 300), (20_000, 30_000)):
+        got = {}
+        for r in V.batch_top_k(df.coalesce(2), "embedding", "chunk_id", queries.filter(F.col("query") < most), "query", "q", 10, block).orderBy("query", "rank").collect():
+            got.setdefault(r["query"], []).append((-r["score"], r["chunk_id"]))
+        assert got == {q: w for q, w in want.items() if q < most}
+    df.write.parquet(str(tmp_path / "vectors.parquet"))
+    duckdb.sql(f"CREATE OR REPLACE VIEW vectors AS SELECT * FROM '{tmp_path}/vectors.parquet/*.parquet'")
+    told = lambda rows: sorted((r[0], r[1], round(r[2], 9), r[3]) for r in rows)
+    assert told(search.batch_knn(spark, str(tmp_path)).collect()) == told(duckdb.sql(search.ORACLE["batch_knn"]).fetchall())
