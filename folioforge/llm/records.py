@@ -1,8 +1,8 @@
 """Best representative of each duplicate group (problem 4).
 
 Rows that tell of one paper are linked by identifiers (DOI, content hash), by the
-sentences of their whole text (all that hold figures are keys; the smallest hashes of
-all sentences are compared) and by title with authors; each group gets one record.  Fields that depend on one another form
+sentences of their whole text (all are compared, with figures or without, but for
+those that ``STOCK`` DOIs share) and by title with authors; each group gets one record.  Fields that depend on one another form
 *bundles* (a DOI fixes its year); whole bundles are chosen by branch-and-bound,
 maximising the trust of the rows behind them, and bonds between bundles that
 stand in one row, under the functional dependencies.
@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from folioforge.shared import cut, spread
 
-SKETCH = 16  # smallest sentence hashes kept of a text
+WEIGHED = 16  # shared sentences that add to a link's score
+STOCK = 3  # DOIs that share a sentence make it a stock sentence, which tells of no paper
 SIDE = 500  # rows of a block that meet as many others in one task
 
 # Openings of errata and names of parts, in the corpus languages.
@@ -47,45 +48,56 @@ def _with_evidence(df: DataFrame) -> DataFrame:
         sentences.alias("told"))
     out = out.withColumn("hashes", F.array_sort(F.expr("transform(told, s -> xxhash64(s))")))
     return out.select(
-        "doc_id", "doi", "sha", "title", F.coalesce("open_title", F.lit(False)).alias("open_title"), "authors", "year",
-        # Sentences with figures tell a text from others; where none has any, the whole text must agree.
-        F.expr("CASE WHEN exists(told, s -> s rlike '[0-9]') THEN transform(filter(told, s -> s rlike '[0-9]'), s -> xxhash64(s))"
-               " WHEN size(hashes) > 0 THEN array(xxhash64(hashes)) END").alias("text_keys"),
-        F.slice("hashes", 1, SKETCH).alias("sketch"), F.size(F.coalesce("hashes", F.expr("array()"))).alias("sentences"),
+        "doc_id", "doi", "sha", "title", F.coalesce("open_title", F.lit(False)).alias("open_title"), "authors", "year", "hashes",
         F.coalesce(F.col("title").rlike(ERRATUM), F.lit(False)).alias("erratum"), F.regexp_extract(F.coalesce("title", F.lit("")), PART, 1).alias("part"))
 
 
-def _candidates(classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes that share a key.
+def _candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of classes that share a key; the stock sentences of each class.
 
     Classes of one DOI are one paper whatever else they hold, so each is tied to
     the first of them; two DOIs never link.  What is left are the pairs in which
     one class has no DOI: all of them are made, a block in squares of ``SIDE``.
+    Texts link only if they are equal or half the sentences of the smaller, stock
+    sentences apart, stand in the other: one of any half and one more of its
+    sentences must, and the rarest are asked for.
     """
     by_doi = classes.filter("doi IS NOT NULL").select("c", "doi").distinct()
     first = by_doi.groupBy("doi").agg(F.count("*").alias("n"), F.min("c").alias("a")).filter("n > 1")
     ties = by_doi.join(first, "doi").filter("a != c").select("a", F.col("c").alias("b"))
-    text_keys = F.expr("transform(text_keys, h -> concat('h', cast(h as string)))")
-    keys = classes.select("c", F.col("doi").isNull().alias("asks"), F.explode(F.array_compact(F.concat(
-        F.array(F.concat(F.lit("s"), "sha"), F.when((F.length("title") >= 20) & ~F.col("open_title"), F.concat(F.lit("t"), "title"))),
-        F.coalesce(text_keys, F.expr("array()"))))).alias("k")).select("c", "asks", F.xxhash64("k").alias("k")).distinct()
-    blocks = keys.groupBy("k").agg(F.count("*").alias("n"), F.count_if("asks").alias("m")).filter("n > 1 AND m > 0").select(
-        "k", F.ceil(F.col("m") / SIDE).alias("rows"), F.ceil(F.col("n") / SIDE).alias("columns"))
-    placed = cut(keys.join(blocks, "k"), "blocks")
-    asking = placed.filter("asks").select("k", F.col("c").alias("x"), F.expr("pmod(xxhash64(c), rows)").alias("i"), F.explode(F.expr("sequence(0L, columns - 1)")).alias("j"))
-    asked = placed.select("k", F.col("c").alias("y"), F.explode(F.expr("sequence(0L, rows - 1)")).alias("i"), F.expr("pmod(xxhash64(c), columns)").alias("j"))
-    pairs = asking.join(asked, ["k", "i", "j"]).filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    return ties.unionByName(pairs).distinct()
-
-
-def _links(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    # k, size: every sentence with the number of them, or a name or whole text with 0.
+    names = F.array(
+        F.concat(F.lit("s"), "sha"), F.when((F.length("title") >= 20) & ~F.col("open_title"), F.concat(F.lit("t"), "title")),
+        F.when(F.size("hashes") > 0, F.concat(F.lit("w"), F.xxhash64("hashes").cast("string"))))
+    keys = classes.select("c", F.xxhash64("doi").alias("d"), F.col("doi").isNull().alias("asks"), F.explode(F.concat(
+        F.transform(F.array_compact(names), lambda n: F.struct(F.xxhash64(n).alias("k"), F.lit(0).alias("size"))),
+        F.transform(F.coalesce("hashes", F.expr("array()")), lambda h: F.struct(h.alias("k"), F.size("hashes").alias("size"))))).alias("k")).select("c", "d", "asks", "k.k", "k.size").distinct()
+    of_doi = keys.groupBy("k", "asks", "d").agg(F.count("*").alias("n"), F.max("size").alias("size"))
+    blocks = of_doi.groupBy("k").agg(F.sum("n").alias("n"), F.sum(F.expr("if(asks, n, 0)")).alias("m"), ((F.count_if(~F.col("asks")) >= STOCK) & (F.max("size") > 0)).alias("stock")).filter("n > 1 AND (m > 0 OR stock)")
+    # What no partner can hold comes first among a text's rarest sentences.
+    shared = cut(keys.drop("d").join(blocks.drop("m"), "k"), "shared")
+    own = Window.partitionBy("c", "size")
+    held = shared.withColumn("all", F.col("size") - F.count_if("stock").over(own)).filter("NOT stock").withColumn("held", F.count("*").over(own)).withColumn("r", F.row_number().over(own.orderBy("n", "k"))).withColumn("size", F.col("all"))
+    placed = cut(held.select("k", "c", "asks", "size", F.expr("if(size = 0, asks, r + size - held <= size div 2 + 1)").alias("probes")), "blocks")
+    squares = placed.groupBy("k").agg(F.ceil(F.count_if("probes") / SIDE).alias("rows"), F.ceil(F.count("*") / SIDE).alias("columns")).filter("rows > 0")
+    placed = placed.join(squares, "k")
+    asking = placed.filter("probes").select("k", F.col("c").alias("x"), "asks", F.col("size").alias("least"), F.expr("pmod(xxhash64(c), rows)").alias("i"), F.explode(F.expr("sequence(0L, columns - 1)")).alias("j"))
+    # Of two classes one has no DOI: a class that has one asks only those without.
+    asked = placed.select("k", F.col("c").alias("y"), F.explode(F.expr("if(asks, array(true, false), array(true))")).alias("asks"), "size", F.expr("pmod(xxhash64(c), columns)").alias("j"), "rows")
+    asked = asked.select("k", "y", "asks", "size", "j", F.explode(F.expr("sequence(0L, rows - 1)")).alias("i"))
+    pairs = asking.join(asked, ["k", "asks", "i", "j"]).filter("x != y AND least <= size").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return ties.unionByName(pairs).distinct(), shared.filter("stock").groupBy("c").agg(F.collect_list("k").alias("stock"))
+
+
+def _links(rows: DataFrame, pairs: DataFrame, stock: DataFrame) -> DataFrame:
     """a, b, score of the pairs that tell of one paper."""
     headings = rows.filter("doi IS NOT NULL AND title IS NOT NULL").select(F.xxhash64("title").alias("t"), F.xxhash64("doi").alias("d")).distinct()
     general = headings.groupBy("t").count().filter("count > 1").select("t", F.lit(True).alias("general"))
     # Only rows that stand in a pair travel with what is compared.
     named = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
     classes = rows.join(named, "c", "left_semi").dropDuplicates(["c"]).withColumn("t", F.xxhash64("title"))
-    told = cut(classes.drop("text_keys").join(general, "t", "left").withColumn("general", F.coalesce("general", F.lit(False))).drop("t"), "compared")
+    classes = classes.join(stock, "c", "left").withColumn("telling", F.array_except("hashes", F.coalesce("stock", F.expr("array()")))).drop("stock")
+    told = cut(classes.join(general, "t", "left").withColumn("general", F.coalesce("general", F.lit(False))).drop("t"), "compared")
     side = lambda s: told.select(*[F.col(c).alias(c if c == "c" else f"{c}_{s}") for c in told.columns if c != "doc_id"]).withColumnRenamed("c", s)
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     e = F.expr
@@ -93,8 +105,10 @@ def _links(rows: DataFrame, pairs: DataFrame) -> DataFrame:
         "a", "b",
         e("coalesce(doi_a = doi_b, false)").alias("same_doi"), e("doi_a IS NOT NULL AND doi_b IS NOT NULL AND doi_a != doi_b").alias("other_doi"),
         e("coalesce(sha_a = sha_b, false)").alias("same_sha"),
-        e("coalesce(size(array_intersect(sketch_a, sketch_b)), 0)").alias("shared"),
-        e("least(size(coalesce(sketch_a, array())), size(coalesce(sketch_b, array())))").alias("least"),
+        e("coalesce(size(array_intersect(hashes_a, hashes_b)), 0)").alias("shared"),
+        e("coalesce(least(size(hashes_a), size(hashes_b)), 0)").alias("least"),
+        e("coalesce(if(hashes_a = hashes_b, size(hashes_a), size(array_intersect(telling_a, telling_b))), 0)").alias("told"),
+        e("coalesce(if(hashes_a = hashes_b, size(hashes_a), least(size(telling_a), size(telling_b))), 0)").alias("least_told"),
         e("coalesce(title_a = title_b, false) AND NOT general_a").alias("same_title"),
         e("title_a IS NOT NULL AND title_b IS NOT NULL").alias("titled"),
         e("""CASE WHEN title_a IS NULL OR title_b IS NULL THEN true
@@ -103,18 +117,19 @@ def _links(rows: DataFrame, pairs: DataFrame) -> DataFrame:
              ELSE levenshtein(title_a, title_b) <= 0.25 * greatest(length(title_a), length(title_b)) END""").alias("like_title"),
         e("erratum_a != erratum_b AND title_a IS NOT NULL AND title_b IS NOT NULL OR (part_a != part_b AND part_a != '' AND part_b != '')").alias("apart"),
         e("coalesce(arrays_overlap(authors_a, authors_b), true) OR coalesce(size(authors_a), 0) = 0 OR coalesce(size(authors_b), 0) = 0").alias("like_authors"),
-        e("coalesce(arrays_overlap(authors_a, authors_b), false)").alias("same_authors"), e("coalesce(sketch_a = sketch_b, false)").alias("same_text"),
+        e("coalesce(arrays_overlap(authors_a, authors_b), false)").alias("same_authors"), e("coalesce(hashes_a = hashes_b, false)").alias("same_text"),
         e("coalesce(abs(year_a - year_b) <= 1, true)").alias("like_year"))
     return both.filter(
-        "NOT other_doi AND (same_doi OR NOT apart AND like_title AND (same_sha AND like_year OR shared >= 1 AND if(like_authors, 2, 1.3) * shared >= least AND (shared >= 2 OR same_title OR (same_authors OR same_text AND like_authors) AND like_year)"
+        "NOT other_doi AND (same_doi OR NOT apart AND like_title AND (same_sha AND like_year OR told >= 1 AND if(like_authors, 2, 1.3) * shared >= least AND if(like_authors, 2, 1.3) * told >= least_told AND (shared >= 2 OR same_title OR (same_authors OR same_text AND like_authors) AND like_year)"
         " OR same_title AND like_authors AND like_year))"
-    ).select("a", "b", e("if(same_doi, 1000, 0) + if(same_sha, 100, 0) + if(same_title, 30, 0) + shared").alias("score"))
+    ).select("a", "b", e(f"if(same_doi, 1000, 0) + if(same_sha, 100, 0) + if(same_title, 30, 0) + least(shared, {WEIGHED})").alias("score"))
 
 
 def duplicate_groups(df: DataFrame) -> DataFrame:
     """doc_id, group: the group (its smallest class) of every row."""
-    rows = cut(_with_evidence(spread(df.select("doc_id", "doi", "sha256", "title", "authors", "year", "text"))).withColumn("c", F.xxhash64("doi", "sha", "title", "open_title", "authors", "year", "sketch", "sentences")), "evidence")
-    links = _links(rows, cut(_candidates(rows), "pairs"))
+    rows = cut(_with_evidence(spread(df.select("doc_id", "doi", "sha256", "title", "authors", "year", "text"))).withColumn("c", F.xxhash64("doi", "sha", "title", "open_title", "authors", "year", "hashes")), "evidence")
+    pairs, stock = _candidates(rows)
+    links = _links(rows, cut(pairs, "pairs"), stock)
     links = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "score")), "links")
     nodes = rows.select("c", "doi").distinct().join(links.select(F.col("a").alias("c")).distinct(), "c")
     # Classes with a DOI are grouped by it; the others take the group of their best neighbour, or the smallest among themselves.

@@ -108,3 +108,36 @@ def test_records_of_known_papers(spark):
                 year=year if whole else rng.choice([None, year, 3000]), text=text, status="ok" if whole else "partial"))
     got = {r["doi"]: (r["n_rows"], r["title"], r["authors"], r["year"]) for r in best_records(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == truth
+
+
+def test_texts_without_figures_and_excerpts(spark):
+    """Copies of texts without figures that differ in a sentence, excerpts of long texts; stock sentences of many papers link none."""
+    word = lambda p, k: "".join(chr(97 + (int(d) + p) % 26) * 2 for d in f"{p:02d}{k:03d}")
+    told = lambda p, n: [f"The {word(p, k)} furnace of the {word(p, k + 500)} works was closed." for k in range(n)]
+    stock = ["No such change was seen for straw of any kind.", "We thank the staff of the workshop for their help.", "All data can be had from the authors on request."]
+    rows, want = [], set()
+    for p in range(12):
+        text = told(p, 80 if p % 2 else 5)
+        copy = text[30:42] if p % 2 else [*text[:4], f"An odd remark on {word(p, 7)} was added here by someone else."]
+        rows += [row(2 * p, f"10.1234/{word(p, 1)}", title=f"Works on {word(p, 2)} ovens", authors="Kolb, N.", year=2019, text=" ".join([*text, *stock])), row(2 * p + 1, None, authors="Kolb, N.", year=2019, text=" ".join(copy))]
+        want.add((2 * p, 2 * p + 1))
+    rows.append(row(100, None, text=" ".join([*stock, "The last word on this was never said by anyone."])))
+    assert {tuple(r) for r in duplicate_pairs(spark.createDataFrame(rows, SCHEMA)).collect()} == want
+
+
+def test_candidates_hold_every_link(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng, rows = random.Random(7), []
+    pool = ["The {} kiln of the {} works was never lit again.".format(*("".join(chr(97 + int(d)) * 4 for d in f"{k + j:03d}") for j in (0, 300))) for k in range(40)]
+    for i in range(120):
+        text = " ".join(rng.sample(pool[i % 8 * 4 : i % 8 * 4 + 12], rng.randint(1, 8)))
+        rows.append(row(i, rng.choice([None, None, f"10.1234/{i % 9}"]), authors=rng.choice([None, "Kolb, N.", "Lund, B."]), year=rng.choice([None, 2001]), text=text))
+    table = records._with_evidence(spark.createDataFrame(rows, SCHEMA)).withColumn("c", F.xxhash64("doc_id")).cache()
+    pairs, stock = records._candidates(table)
+    every = table.select(F.col("c").alias("a")).join(table.select(F.col("c").alias("b")), F.expr("a < b"))
+    links = lambda p: {tuple(r) for r in records._links(table, p, stock).filter("score < 1000").collect()}
+    whole = links(every)
+    assert whole and links(pairs) == whole
